@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, simhash, substrings
+from . import bpe, embeddings, exact, html, packing, quality, simhash, substrings, toxicity, urls
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -14,6 +14,10 @@ def op1_packing(spark, sf_dir):
     return packing.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_quality(spark, sf_dir):
+    return quality.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.digests(table(spark, sf_dir, "documents"))
 
@@ -22,13 +26,34 @@ def op4_substrings(spark, sf_dir):
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_exact(spark, sf_dir):
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_html(spark, sf_dir):
+    return html.digests(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_embeddings(spark, sf_dir):
+    return embeddings.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_urls(spark, sf_dir):
+    return urls.digests(table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_packing, op3_simhash, op4_substrings, op7_bpe)}
+    found = (op1_packing, op2_quality, op3_simhash, op4_substrings, op5_exact, op6_html, op7_bpe, op8_embeddings, op9_toxicity, op10_urls)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {}
+    return {"op5_exact": exact.ORACLE_SQL}

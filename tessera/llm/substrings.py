@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import Cache
 from .common import materialized, only
@@ -155,14 +156,15 @@ def _shared_windows(joined: DataFrame, width: int, gram: int, kind: str) -> Data
     return joined.mapInArrow(run, f"id {kind}, k bigint, pos bigint, h1 bigint, h2 bigint")
 
 
-def _cut(joined: DataFrame, width: int, kind: str) -> DataFrame:
+def _cut(joined: DataFrame, width: int) -> DataFrame:
     """Merge the repeated windows of each text into intervals and keep the other words."""
+    carried = [f for f in joined.schema.fields if f.name not in ("text", "repeats")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals, removed, spans, kept = [], [], [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
-                words = (text or "").encode().split()
+                words = _words(text)
                 starts = np.unique(np.array(found or [], np.int64))
                 out, left, at = [], [], 0
                 if len(starts):
@@ -180,18 +182,20 @@ def _cut(joined: DataFrame, width: int, kind: str) -> DataFrame:
                 kept.append(b" ".join(left).decode())
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kinds), pa.array(kept, pa.string())],
-                ["id", "n_words", "n_removed", "spans", "kept"],
+                [*(batch.column(f.name) for f in carried), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kinds), pa.array(kept, pa.string())],
+                [*(f.name for f in carried), "n_words", "n_removed", "spans", "kept"],
             )
 
-    return joined.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept string")
+    found = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(found)), T.StructField("kept", T.StringType())]
+    return joined.mapInArrow(run, T.StructType([*carried, *more]))
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, anchor: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, anchor: int = 25, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``(id, n_words, n_removed, spans, kept)`` of every row.
 
     ``spans`` are the maximal removed intervals in words, ``kept`` the other words
-    joined by one space.
+    joined by one space. ``carry`` adds ``row``, a struct of the row's own columns.
     """
     source = only(docs, id=id_col, text=text_col).withColumn("k", F.xxhash64("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -202,7 +206,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, anchor: int = 25, id_col: s
     first = found.groupBy("h1", "h2").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select("h1", "h2", "m")
     repeats = materialized(found.join(first, ["h1", "h2"]).where("id > m").select("id", "k", "pos"), "repeats")
     repeats = repeats.groupBy("id", "k").agg(F.collect_set("pos").alias("repeats"))
-    return _cut(source.join(repeats, ["id", "k"], "left").select("id", "text", "repeats"), width, kind).withColumnRenamed("id", id_col)
+    if carry:
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row).withColumn("k", F.xxhash64("text"))
+    cut = _cut(source.join(repeats, ["id", "k"], "left").drop("k"), width)
+    return cut.withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame) -> DataFrame:
