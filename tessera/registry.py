@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from tessera.plans import journal, relational, search, versions
+from tessera.plans.base import QUERIES, SQL
+
+MODULES = (journal, relational, search, versions)
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
