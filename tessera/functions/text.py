@@ -127,16 +127,20 @@ def rule_confidence(text: Column, keywords: Sequence[str] = RULE_KEYWORDS, negat
     return F.least(F.lit(0.99), reduce(lambda a, b: a + b, [F.when(c, v).otherwise(0.0) for c, v in terms], F.lit(0.6)))
 
 
+def _without(text: Column, words: Sequence[str]) -> Column:
+    """Lower-cased words of a text, without punctuation and without some words."""
+    clean = squeezed(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]+", " "))
+    return F.array_join(F.filter(F.split(clean, " "), lambda w: ~w.isin(*words)), " ")
+
+
 def canonical_signature(text: Column, modal: Sequence[str] = ("must", "shall", "should", "required", "обязан", "должен", "необходимо", "обязательно")) -> Column:
     """Lower-cased words without modal ones."""
-    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]+", " ")
-    return squeezed(F.regexp_replace(words, rf"(?U)\b(?:{'|'.join(modal)})\b", " "))
+    return _without(text, modal)
 
 
 def conflict_signature(text: Column, quantity: Sequence[str] = ("not", "не", "more", "than", "one", "single", "multiple", "many", "only"), modal: Sequence[str] | None = None) -> Column:
     """The canonical signature without words of polarity and quantity."""
-    base = canonical_signature(text) if modal is None else canonical_signature(text, modal)
-    return squeezed(F.regexp_replace(base, rf"(?U)\b(?:{'|'.join(quantity)})\b", " "))
+    return _without(canonical_signature(text) if modal is None else canonical_signature(text, modal), quantity)
 
 
 def page_signature(text: Column) -> Column:

@@ -226,13 +226,13 @@ def coalesce_update(spark, sf):
 
 @query("""WITH a AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS w FROM part WHERE p_size <= 5),
 c AS (SELECT DISTINCT p_brand, unnest(list_distinct(string_split(lower(p_type), ' '))) AS w FROM part)
-SELECT a.p_partkey, c.p_brand, count(*) AS shared FROM a JOIN c USING (w) WHERE length(w) >= 4 GROUP BY ALL HAVING count(*) >= 3""")
+SELECT a.p_partkey, c.p_brand, count(*) AS shared FROM a JOIN c USING (w) WHERE length(w) >= 4 GROUP BY ALL HAVING count(*) >= 2""")
 def token_overlap(spark, sf):
     """Pairs that share three tokens of four letters, joined on the tokens."""
     words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("w")
     a = table(spark, sf, "part").where("p_size <= 5").select("p_partkey", words(F.concat_ws(" ", "p_name", "p_type")))
     c = table(spark, sf, "part").select("p_brand", words(F.col("p_type"))).distinct()
-    return a.where(F.char_length("w") >= 4).join(c, "w").groupBy("p_partkey", "p_brand").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 3")
+    return a.where(F.char_length("w") >= 4).join(c, "w").groupBy("p_partkey", "p_brand").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")

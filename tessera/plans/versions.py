@@ -41,11 +41,11 @@ def delta_summary(spark, sf):
     return O.zero_filled_pivot(found, ["source"], "change", ("added", "changed", "removed", "unchanged"))
 
 
-_SCANNED = "sc AS (SELECT DISTINCT source FROM documents WHERE source IN ('src1', 'src2', 'src3', 'src11'))"
+_SCANNED = "sc AS (SELECT DISTINCT source FROM documents WHERE source IN ('src2', 'src3', 'src11'))"
 
 
 def _scanned(spark, sf):
-    return table(spark, sf, "documents").where(F.col("source").isin("src1", "src2", "src3", "src11")).select("source").distinct()
+    return table(spark, sf, "documents").where(F.col("source").isin("src2", "src3", "src11")).select("source").distinct()
 
 
 @query(f"WITH {_V1}, {_V2}, {_SCANNED} SELECT doc_id, source FROM v1 WHERE source IN (SELECT source FROM sc) AND doc_id NOT IN (SELECT doc_id FROM v2)")

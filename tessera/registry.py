@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import journal, relational, search, versions
+from tessera.plans import journal, pages, relational, rulebook, search, texts, versions
 from tessera.plans.base import QUERIES, SQL
 
-MODULES = (journal, relational, search, versions)
+MODULES = (journal, pages, relational, rulebook, search, texts, versions)
 
 
 def queries():
