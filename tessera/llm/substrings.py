@@ -9,7 +9,9 @@ Windows that can't repeat are left out of the count beforehand, exactly: of each
 window the least hash of its ``anchor``-word grams is taken. Equal windows have
 equal anchors, so only windows whose anchor occurs in two documents are counted.
 An anchor serves many neighbouring windows, so this costs a small part of the
-rows that all windows would. Window hashes are two independent 64-bit sums.
+rows that all windows would. A text that has the same words as one with a smaller
+id is repeated as a whole and takes no part in the count. Window hashes are two
+independent 64-bit sums.
 
 Defined results: words are split at ASCII white space and stay unchanged; a null
 or empty text has no words; a text shorter than a window keeps all its words;
@@ -110,24 +112,33 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _anchors(source: DataFrame, width: int, gram: int, kind: str) -> DataFrame:
-    """``(id, k, anchor)``: the distinct anchors of every text."""
+    """``(id, k, whole, anchor, more)``: the distinct anchors of every text that has a window,
+    and in a row with ``whole`` a 128-bit hash of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = windows()
         for batch in batches:
-            rows, found = [], []
+            rows, whole, found, more = [], [], [], []
             for r, text in enumerate(batch.column("text").to_pylist()):
-                parts = [np.unique(a) for _, a in made.anchors(_words(text), width, gram)]
-                if parts:
-                    a = np.unique(np.concatenate(parts))
-                    rows.append(np.full(len(a), r))
-                    found.append(a)
-            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            found = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("k").take(at), pa.array(found.view(np.int64))], ["id", "k", "anchor"])
+                words = _words(text)
+                if len(words) < width:
+                    continue
+                a = np.unique(np.concatenate([np.unique(a) for _, a in made.anchors(words, width, gram)]))
+                high, low = divmod(xxhash.xxh3_128_intdigest(b" ".join(words)), 1 << 64)
+                n = len(a) + 1
+                rows.append(np.full(n, r))
+                whole.append(np.arange(n) == 0)
+                found.append(np.concatenate((np.array([high], np.uint64), a)))
+                more.append(np.array([low] + [0] * (n - 1), np.uint64))
+            if not rows:
+                continue
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(at), batch.column("k").take(at), pa.array(np.concatenate(whole)), *(pa.array(np.concatenate(x).view(np.int64)) for x in (found, more))],
+                ["id", "k", "whole", "anchor", "more"],
+            )
 
-    return source.where("id is not null").mapInArrow(run, f"id {kind}, k bigint, anchor bigint")
+    return source.where("id is not null").mapInArrow(run, f"id {kind}, k bigint, whole boolean, anchor bigint, more bigint")
 
 
 def _shared_windows(joined: DataFrame, width: int, gram: int, kind: str) -> DataFrame:
@@ -167,7 +178,9 @@ def _cut(joined: DataFrame, width: int) -> DataFrame:
                 words = _words(text)
                 starts = np.unique(np.array(found or [], np.int64))
                 out, left, at = [], [], 0
-                if len(starts):
+                if len(starts) and starts[0] < 0:
+                    out, at = [{"start": 0, "end": len(words)}], len(words)
+                elif len(starts):
                     breaks = np.flatnonzero(np.diff(starts) > width)
                     firsts = starts[np.concatenate(([0], breaks + 1))]
                     lasts = starts[np.concatenate((breaks, [len(starts) - 1]))] + width
@@ -200,12 +213,21 @@ def remove_repeats(docs: DataFrame, width: int = 50, anchor: int = 25, id_col: s
     source = only(docs, id=id_col, text=text_col).withColumn("k", F.xxhash64("text"))
     kind = source.schema["id"].dataType.simpleString()
     anchors = materialized(_anchors(source, width, anchor, kind), "anchors")
+    wholes = anchors.where("whole").select("id", "k", "anchor", "more")
+    least = materialized(wholes.groupBy("anchor", "more").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select("anchor", "more", "m"), "wholes")
+    copies = materialized(wholes.join(least, ["anchor", "more"]).where("id > m").select("id", "k"), "copies")
+    anchors = anchors.where("not whole").join(copies, ["id", "k"], "left_anti").select("id", "k", "anchor")
     common = anchors.groupBy("anchor").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select("anchor")
+    common = materialized(common, "common")
     mine = materialized(anchors.join(common, "anchor"), "shared").groupBy("id", "k").agg(F.collect_set("anchor").alias("shared"))
     found = materialized(_shared_windows(source.join(mine, ["id", "k"]).select("id", "k", "text", "shared"), width, anchor, kind), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select("h1", "h2", "m")
+    # as a table of its own, so that a hash in very many documents is split in the join
+    first = materialized(first, "first")
     repeats = materialized(found.join(first, ["h1", "h2"]).where("id > m").select("id", "k", "pos"), "repeats")
     repeats = repeats.groupBy("id", "k").agg(F.collect_set("pos").alias("repeats"))
+    # every word of a copy lies in a repeated window
+    repeats = repeats.unionByName(copies.select("id", "k", F.array(F.lit(-1).cast("bigint")).alias("repeats")).distinct())
     if carry:
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
         source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row).withColumn("k", F.xxhash64("text"))
