@@ -48,7 +48,9 @@ def features(text: str | None) -> tuple[int, int, int, int]:
         return (0, 0, 0, 0)
     symbols = min(1.0, len(_SYMBOLS.findall(text)) / n)
     repeats = sum(map(operator.eq, words, words[1:])) / n
-    letters = sum(map(len, _LETTERS.findall(text))) / len("".join(words))
+    # the share of letters leaves out symbol runs, which have a feature of their own
+    rest = "".join(_SYMBOLS.sub("", text).split())
+    letters = sum(map(len, _LETTERS.findall(rest))) / len(rest) if rest else 0.0
     return (int(symbols * BINS), int(repeats * BINS), int(letters * BINS), n.bit_length())
 
 
