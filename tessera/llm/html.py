@@ -32,8 +32,10 @@ from .common import only
 
 #: Lines whose lengths are summed.
 WINDOW = 3
-_RAW = frozenset("script style noscript template svg iframe textarea title object canvas math head".split())
-_DROP = frozenset("nav aside footer form button select dialog menu figure label".split())
+_RAW = frozenset("script style noscript template svg iframe textarea title canvas head".split())
+_DROP = frozenset("nav aside footer form button select dialog menu".split())
+#: Elements that the next block ends when they aren't closed.
+_OPEN = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _MAIN = frozenset(("article", "main"))
@@ -45,6 +47,9 @@ _BOILER = re.compile(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+_BLOCK = re.compile(r"</?(?:p|li|ul|ol|dl|dt|dd|td|th|tr|table|h[1-6]|div|section|article|main|aside|nav|footer|header|form|blockquote|pre|hr|body|html)(?=[\s/>])[^>]*>?", re.I)
+#: An article that isn't a reader's comment.
+_HOLDS = re.compile(r"<(?:article|main)(?=[\s>])(?![^>]*comment)", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
@@ -55,16 +60,19 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), values[0] or values[1] or values[2]
-        if key in ("class", "id") and _BOILER.search(value) or key == "role" and value.lower() in _ROLES or key == "aria-hidden" and value == "true":
+        if key in ("class", "id") and _BOILER.search(value) or key == "role" and value.lower() in _ROLES:
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub(" ", attributes)))
+    return False
 
 
 def _end_of(page: str, name: str, at: int) -> int:
     """Where the element that was opened before ``at`` ends; an open end is at the next article or main heading."""
+    if name in _OPEN:
+        m = _BLOCK.search(page, at)
+        return len(page) if not m else m.end() if m[0].lower().startswith(f"</{name}") else m.start()
     depth = 1
     for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){name}(?=[\s/>])[^>]*>?", re.S | re.I).finditer(page, at):
-        if m[1] is not None and not m[0].startswith("<!--"):
+        if not m[0].startswith("<!--"):
             depth += -1 if m[1] else 1
             if not depth:
                 return m.end()
@@ -112,11 +120,11 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             close()
             found = re.compile(rf"</{name}(?=[\s/>])[^>]*>?" if name != "head" else r"</head\s*>|(?=<body[\s>])|(?=<article[\s>])", re.I).search(page, at)
             at = found.end() if found else len(page)
-        elif name not in _VOID and not m[3].endswith("/") and _boilerplate(name, m[3], article > 0):
+        elif name not in _VOID and not m[3].endswith("/") and _boilerplate(name, m[3], article > 0) and not (_HOLDS.search(page, at, end := _end_of(page, name, at))):
             close()
             if not article:  # inside one, what stands on both sides belongs together
                 lines.append(("", 0))
-            at = _end_of(page, name, at)
+            at = end
         elif name == "a":
             in_link = True
         elif name == "br" or name == "wbr":

@@ -49,6 +49,7 @@ PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style><scrip
         ("<main><p>a < b and <i>c</i>d</p></main>", "a < b and cd"),
         ("<div><p>Long enough paragraph of text, the first one here.</p><p>And a second one.</p></div>", "Long enough paragraph of text, the first one here.\nAnd a second one."),
         ("<article></article>", ""),
+        ("<div class='page with-sidebar'><article><p class='share'>Tweet<p>Kept<ul><li class='ad'>x<li>item</ul><figure><figcaption>Caption</figcaption></figure></article><section id='comments'><article class='comment'><p>Me too, a very long reader comment that is longer than all.</p></article></section></div>", "Kept\nitem\nCaption"),
     ],
 )
 def test_html(body, text):
