@@ -238,3 +238,28 @@ def adaptive_chunking(spark, sf):
     n = F.octet_length("text")
     words = F.size(F.split(X.squeezed(F.col("text")), " ")).cast("bigint")
     return table(spark, sf, "documents").select("doc_id", words.alias("word_count"), F.least(F.lit(1800), F.greatest(F.lit(400), F.ceil(n / 2560))).cast("bigint").alias("target"), (n >= 20000).alias("large"))
+
+
+@query()
+def near_duplicate_bodies(spark, sf):
+    """Turns that are nearly the turn before them."""
+    from tessera.functions.similar import near_equal
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "text", before.alias("before"))
+    return t.select("conv_id", "turn", near_equal(F.col("text"), F.col("before")).alias("near_equal"))
+
+
+_PHRASE = "' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' '".replace("\\\\", "\\")
+
+
+@query(f"""WITH e AS (SELECT doc_id, lang, list_filter(['Limit', 'Place', 'Terms'], lambda x: CASE x WHEN 'Limit' THEN contains({_PHRASE}, ' only ') WHEN 'Place' THEN contains({_PHRASE}, ' entre ') OR contains({_PHRASE}, ' to the ') ELSE contains({_PHRASE}, ' license ') END) AS found FROM documents),
+a AS (SELECT * FROM (VALUES ('en', ['Limit', 'Terms']), ('fr', ['Place'])) AS a(lang, elements))
+SELECT doc_id, found, list_filter(found, lambda x: NOT list_contains(coalesce(elements, []), x)) AS disallowed, len(list_intersect(found, coalesce(elements, []))) > 0 AS aligned FROM e LEFT JOIN a USING (lang)""")
+def ontology_alignment(spark, sf):
+    """H43, VR-NRM-02/05/06: elements of a vocabulary in texts, against what their section allows."""
+    from tessera.operators import ontology
+
+    aliases = (("Limit", "only"), ("Place", "entre"), ("Place", "to the"), ("Terms", "license"))
+    allowed = spark.sql("SELECT * FROM VALUES ('en', array('Limit', 'Terms')), ('fr', array('Place')) AS a(lang, elements)")
+    return ontology.align(table(spark, sf, "documents"), allowed, aliases, section="lang").select("doc_id", "found", "disallowed", "aligned")

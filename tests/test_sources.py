@@ -74,3 +74,52 @@ def test_incremental_sync(spark, tmp_path):
 def test_idempotent(spark):
     rows = spark.createDataFrame([("k", "f", 1), ("k", "f", 2), ("k", "g", 3)], "key string, fingerprint string, at int")
     assert [r.outcome for r in ingest.idempotent(rows).orderBy("at").collect()] == ["accepted", "replayed", "conflict"]
+
+
+def test_cases(spark, tmp_path):
+    from tessera.sources import cases
+
+    body = {
+        "dataset_name": "d",
+        "cases": [
+            {"case_id": "1", "query_text": "q", "expected_fragment_ids": ["a"], "relevance_by_fragment_id": {"a": 0.5, "b": 2.0}, "top_k": 0},
+            {"case_id": "2", "query_text": " ", "expected_document_ids": ["x"]},
+            {"case_id": "3", "query_text": "q", "relevance_by_document_id": {"x": 0.0}},
+        ],
+    }
+    (tmp_path / "c.json").write_text(json.dumps(body))
+    good, targets, bad = cases.read_cases(spark, str(tmp_path / "c.json"))
+    assert [(r.case_id, r.use_case, r.top_k) for r in good.collect()] == [("1", "generation", 1)]
+    assert {(r.target, r.relevance) for r in targets.collect()} == {("fragment:a", 1.0), ("fragment:b", 2.0)}
+    assert {(r.case_id, r.reason) for r in bad.collect()} == {("2", "no query"), ("3", "no target")}
+
+
+def test_manifest(spark):
+    from tessera.sources import cases
+
+    known = spark.createDataFrame([(1, "a", "u1"), (2, "b", "u2"), (3, "c", "u2")], "source_id int, code string, uri string")
+    entries = spark.createDataFrame([("a", "new"), ("x", "u1"), ("y", "u2"), ("z", "u9")], "code string, uri string")
+    rows = {r.code: (r.source_id, r.action) for r in cases.import_manifest(entries, known).collect()}
+    assert rows == {"a": (1, "update"), "x": (1, "update"), "y": (None, "ambiguous"), "z": (None, "insert")}
+
+
+def test_progress_is_throttled():
+    from tessera.streaming.control import Progress
+
+    now, said = [0.0], []
+    p = Progress(lambda *x: said.append(x), clock=lambda: now[0])
+    p.offer("r", 0, 5)
+    p.offer("r", 1, 5)
+    now[0] = 2.5
+    p.offer("r", 2, 5)
+    p.offer("r", 3, 1, forced=True)
+    assert said == [("r", 0, 5), ("r", 2, 15), ("r", 3, 16)]
+
+
+def test_near_equal(spark):
+    from tessera.functions.similar import near_equal
+
+    body = "alpha beta gamma delta " * 10
+    rows = [(body, body.upper()), (body, body + "more"), (body, body.replace("alpha", "alphq", 1)), (body, "other text"), (None, body), ("a b", "a b c")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(near_equal(F.col("a"), F.col("b"))).collect()]
+    assert got == [True, True, True, False, False, False]
