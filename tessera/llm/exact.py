@@ -46,7 +46,7 @@ def _set(spark: SparkSession, **conf: str):
 
 
 def _state(spark: SparkSession, arrivals: str, schema, files_per_batch: int | None) -> DataFrame:
-    """``(digest, keep, n)`` after the whole stream of ``arrivals``; keep: the first of (null id, id, row, file)."""
+    """``(digest, keep, n)`` after the whole stream of ``arrivals``; keep: the first of (null id, id, row)."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -57,7 +57,9 @@ def _state(spark: SparkSession, arrivals: str, schema, files_per_batch: int | No
         # a batch that runs again after a failure writes the same folder again
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _set(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+    # a state partition is small; space laid out ahead for each one's logs would outweigh it
+    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    with _set(spark, **conf):
         query = held.writeStream.outputMode("update").option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).foreachBatch(save).start()
         query.awaitTermination()
     if query.exception():
@@ -75,9 +77,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     source = only(docs, id=id_col, text=text_col)
-    marked = source.withColumn("file", F.input_file_name())
-    locator = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.monotonically_increasing_id().alias("row"), F.col("file"))
-    arrivals = marked.select(F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"), locator.alias("locator"))
+    # the number of an arrival locates its content: its id and its place among equal ids
+    locator = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.monotonically_increasing_id().alias("row"))
+    arrivals = source.select(F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"), locator.alias("locator"))
     path = shared_path(spark, "arrivals")
     arrivals.write.parquet(path)
     arrived = spark.read.schema(arrivals.schema).parquet(path)
