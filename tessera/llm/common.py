@@ -30,9 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: Folders of this driver's intermediate tables.
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the intermediate tables of all queries so far; call it when their results are read or written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialized(df: DataFrame, name: str = "table") -> DataFrame:

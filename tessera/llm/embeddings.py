@@ -207,3 +207,11 @@ def near_duplicates(
 
 def digests(embeddings: DataFrame) -> DataFrame:
     return near_duplicates(embeddings)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93),
+r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.c)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(r.c) AS component_id, e.vec_id = min(r.c) AS kept FROM embeddings e JOIN r ON r.v = e.vec_id GROUP BY e.vec_id
+"""

@@ -56,4 +56,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_exact": exact.ORACLE_SQL}
+    return {"op4_substrings": substrings.ORACLE_SQL, "op5_exact": exact.ORACLE_SQL, "op8_embeddings": embeddings.ORACLE_SQL}

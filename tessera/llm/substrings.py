@@ -237,3 +237,15 @@ def remove_repeats(docs: DataFrame, width: int = 50, anchor: int = 25, id_col: s
 
 def digests(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, p, sha256(array_to_string(ws[p:p + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50)),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+rep AS (SELECT DISTINCT doc_id, p FROM win JOIN least USING (h) WHERE doc_id > m),
+gone AS (SELECT DISTINCT doc_id, p + o AS i FROM rep, range(50) AS r(o)),
+w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+k AS (SELECT w.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FILTER (gone.i IS NULL) AS kept FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -129,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_stems: i
         return Grammar()
 
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
             rows: dict[tuple[str, str, int], None] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = WORD.findall((text or "").lower())
