@@ -98,7 +98,8 @@ def _collisions(source: DataFrame, keepers: DataFrame) -> DataFrame:
     texts = source.select("id", normalised(F.col("text")).alias("bytes")).withColumn("digest", F.sha2(F.col("bytes").cast("binary"), 256))
     hits = materialized(texts.join(keepers.where("n > 1").select("digest", F.col("keep.id").alias("keep_id")), "digest"), "hits")
     kept = materialized(hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("bytes").alias("kept_bytes")), "kept")
-    return materialized(hits.join(kept, "digest").where("bytes <> kept_bytes").select("digest").distinct(), "collisions")
+    # made distinct only after it is written, so that the join of a large group can be split
+    return materialized(hits.join(kept, "digest").where("bytes <> kept_bytes").select("digest"), "collisions").distinct()
 
 
 def _regrouped(decided: DataFrame, source: DataFrame, other: DataFrame) -> DataFrame:
