@@ -83,7 +83,9 @@ def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0
     posted = postings(fragments, terms)
     lengths = fragments.select(F.size(search_tokens(F.concat_ws(" ", "title", "content"))).alias("length"))
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))
-    n, avgdl = size.select("n").scalar(), size.select("avgdl").scalar()
+    # one subquery for both numbers, so the texts are tokenised once for them
+    both = size.select(F.struct("n", "avgdl")).scalar()
+    n, avgdl = both["n"], both["avgdl"]
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avgdl))
