@@ -121,17 +121,19 @@ def links(fps: DataFrame, distance: int = 4, pair_limit: int = 256) -> DataFrame
     """Edges ``(a, b)`` between distinct fingerprints with the components of all pairs at ``distance`` bits or fewer."""
     if distance % 2 or not 2 <= distance <= 6:
         raise ValueError("distance must be 2, 4 or 6")
-    postings = _postings(fps, 8 - distance)
-    lists = materialized(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "lists")
-    two = lists.where("n = 2").select("a", "b").where(_near(F.col("a"), F.col("b"), distance))
-    members = materialized(postings.join(lists.where("n > 2").select("key", "n"), "key"), "members")
+    # few bytes make many postings: spread them over all tasks first
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = _postings(fps.repartition(spread, "fp"), 8 - distance)
+    lists = materialized(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    # the lists grow with the table: merge at every size, never broadcast
+    members = materialized(postings.join(lists.hint("merge"), "key"), "members")
     some = members.where(F.col("n") <= pair_limit)
     a, b = F.col("a"), F.col("b")
     meet = some.select("key", F.col("fp").alias("a")).join(some.select("key", F.col("fp").alias("b")), "key").where("a < b")
     tally = F.bit_count(_matches(a, b)) >= 8 - distance
     pairs = meet.where(tally & _near(a, b, distance) & _first_meeting(F.col("key"), a, b, 8 - distance)).select("a", "b")
     many = members.where(F.col("n") > pair_limit).select("fp").distinct()
-    return two.union(pairs).union(_balls(many, distance // 2)).distinct()
+    return pairs.union(_balls(many, distance // 2)).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
