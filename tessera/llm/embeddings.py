@@ -30,6 +30,7 @@ empty table; extra columns are ignored.
 from __future__ import annotations
 
 from math import acos, ceil, comb, erf, log, log2, pi, sqrt
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -169,7 +170,7 @@ def near_duplicates(
     distinct = materialized(distinct.withColumn("least", F.col("v")).withColumn("v", F.monotonically_increasing_id()), "vectors")
     least = least_count(within(threshold, width), projections, recall)
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         _, dim, t, _, first, second = key
         unit = np.array(pdf.embedding.tolist(), np.float64)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
