@@ -242,12 +242,10 @@ def adaptive_chunking(spark, sf):
 
 @query()
 def near_duplicate_bodies(spark, sf):
-    """Turns that are nearly the turn before them."""
-    from tessera.functions.similar import near_equal
+    """Turns that are nearly an earlier distinct turn of their conversation, and the first such."""
+    from tessera.functions.similar import first_matches
 
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    t = table(spark, sf, "conversations").select("conv_id", "turn", "text", before.alias("before"))
-    return t.select("conv_id", "turn", near_equal(F.col("text"), F.col("before")).alias("near_equal"))
+    return first_matches(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
 
 
 _PHRASE = "' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' '".replace("\\\\", "\\")
