@@ -1,28 +1,45 @@
 """Main text of web pages by line-block distribution.
 
-A page's markup is stripped to lines: each block element is a line, inline markup
-and line breaks stay inside one. Scripts, styles, comments and the head vanish;
-menus, page headers, footers, sidebars, notices, adverts, forms and reader
-comments, known by element, role or class, leave a line without weight, and so do
-links. The text lengths of ``window`` neighbouring lines are summed. From the line
-where the sums are largest, the text reaches up to the surge point and down to the
-dive point, where the sum over a whole window falls to nothing; the start and end
-of an article are such points as well. The lines between are the main text.
-
-Pages are handled where they lie (``mapInArrow``), with no shuffle.
-
-Defined results: null and empty html, and pages without text, give an empty text;
-markup that is cut off or not closed ends with the page, or at the next article
-or heading for an element of boilerplate; pages of any length are read whole;
-repeated rows are each extracted; an empty table gives an empty table; extra
-columns are ignored.
+Strip. One pass over the markup with a stack of open elements gives lines: each block
+element is a line, inline markup and line breaks stay inside one. Scripts, styles, HTML
+comments and the head vanish. A line's weight is its number of characters outside
+links; lines of menus, page footers, sidebars, adverts, forms, reader comments and the
+like have no weight. Such an element is known by its name or role, or by a class or id:
+a word of ``SURE`` that is a whole class settles it, a word that is only a part of a
+class (``has-sidebar``, ``social-science-post``) is a hint, which is void for an element
+that holds most of the page's text.
+
+Sum. The weights of ``window`` neighbouring lines are summed. A run of text begins at a
+surge point, the first line whose window reaches ``surge`` characters (half the page's
+largest window where that is less), and ends at the dive point, the first line whose
+window falls below ``dive``. Leading lines that are neither paragraphs, headings nor of
+``LINE`` characters, and lines without weight at both ends, aren't part of it. The start
+and end of an article or main element are surge and dive points that are known.
+
+Keep. Of the articles and runs, the one with most weight is the main text, an article
+also with half of the largest run's; runs of the same parent element are joined. All its
+lines are kept except those of boilerplate elements.
+
+Pages are handled where they lie (``mapInArrow``), with no shuffle; time is in proportion
+to a page's length however its elements are nested.
+
+Defined results: null and empty html, pages without text, and pages of links and
+boilerplate only give an empty text; markup that is cut off or not closed ends with the
+page, or at the next article or main heading for an element of boilerplate; a quote that
+isn't closed ends with its tag; pages of any length are read whole; of equal weights the
+first run is taken; repeated rows are each extracted; an empty table gives an empty
+table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,138 +47,255 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-#: Lines whose lengths are summed.
-WINDOW = 3
+#: Lines whose weights are summed, and the characters of a window at a surge and a dive point.
+WINDOW, SURGE, DIVE = 3, 80, 10
+#: Characters that make a line text whatever its element.
+LINE = 25
 _RAW = frozenset("script style noscript template svg iframe textarea title canvas head".split())
-_DROP = frozenset("nav aside footer form button select dialog menu".split())
-#: Elements that the next block ends when they aren't closed.
-_OPEN = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6".split())
+_DROP = frozenset("nav aside footer form header button select dialog menu".split())
+#: Elements of ``_DROP`` that may hold the whole page.
+_WRAPS = frozenset(("form", "header", "dialog"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXTUAL = _HEADINGS | {"p", "blockquote", "pre"}
 _MAIN = frozenset(("article", "main"))
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|sidebar|side|aside|menu\w*|nav|navbar|navigation|breadcrumbs?"
-    r"|foot|footer|masthead|topbar|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|toolbar|widget|pagination|pager|skip|legal|copyright)"
-    r"(?:$|[\s_-])",
-    re.I,
-)
+#: Which elements a start tag ends when one is the innermost.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "tbody": {"td", "th", "tr", "thead"}}
+_COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Class words of boilerplate when they are a whole class.
+SURE = _COMMENTS | frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo banner cookie cookies consent gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer newsletter subscribe pagination pager masthead topbar".split())
+#: Class words that are a hint.
+HINTS = SURE | frozenset("notice alert popup modal overlay side aside foot share sharing social related recommended recommendations subscription signup login search toolbar widget skip legal copyright".split())
+#: Parts before a class word that turn it.
+_TURNED = frozenset("has no with without hide show is not".split())
+#: Text of short lines outside of articles that is no article.
+PHRASES = re.compile(r"cookie|newsletter|subscribe|sign up|log in|privacy policy|terms of (?:use|service)|all rights reserved|copyright|©|advertisement|share this|follow us|skip to", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_BLOCK = re.compile(r"</?(?:p|li|ul|ol|dl|dt|dd|td|th|tr|table|h[1-6]|div|section|article|main|aside|nav|footer|header|form|blockquote|pre|hr|body|html)(?=[\s/>])[^>]*>?", re.I)
-#: An article that isn't a reader's comment.
-_HOLDS = re.compile(r"<(?:article|main)(?=[\s>])(?![^>]*comment)", re.I)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-
-
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _DROP or name == "header" and not in_article:
-        return True
-    if not attributes or name in ("html", "body", *_MAIN) and "comment" not in attributes:
-        return False
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>(?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)(?=>)|[^>]*)>?",
+    re.S,
+)
+_CLOSE = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?" if n != "head" else r"</head\s*>|(?=<body[\s>])|(?=<article[\s>])", re.I) for n in _RAW}
+_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_PARTS = re.compile(r"[^-_]+")
+NO, HINT, YES, COMMENT = range(4)
+
+
+def suspicion(name: str, attributes: str, in_article: bool) -> int:
+    """How surely an element is boilerplate."""
+    found = NO
+    if name in _DROP and not (name == "header" and in_article):
+        found = HINT if name in _WRAPS else YES
+    if "=" not in attributes:
+        return found
     for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), values[0] or values[1] or values[2]
-        if key in ("class", "id") and _BOILER.search(value) or key == "role" and value.lower() in _ROLES:
-            return True
-    return False
-
-
-def _end_of(page: str, name: str, at: int) -> int:
-    """Where the element that was opened before ``at`` ends; an open end is at the next article or main heading."""
-    if name in _OPEN:
-        m = _BLOCK.search(page, at)
-        return len(page) if not m else m.end() if m[0].lower().startswith(f"</{name}") else m.start()
-    depth = 1
-    for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){name}(?=[\s/>])[^>]*>?", re.S | re.I).finditer(page, at):
-        if not m[0].startswith("<!--"):
-            depth += -1 if m[1] else 1
-            if not depth:
-                return m.end()
-    later = re.compile(r"<(?:article|main|h1)(?=[\s>])", re.I).search(page, at)
-    return later.start() if later else len(page)
-
-
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """Lines of a page with their weights; ``("", 0)`` for what was left out and at the edges of articles."""
-    lines: list[tuple[str, int]] = []
-    parts: list[str] = []
-    linked = at = article = 0
-    in_link = False
-
-    def close() -> None:
-        nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            lines.append((text, max(0, len(text) - linked)))
-        parts.clear()
-        linked = 0
-
-    def say(text: str) -> None:
-        nonlocal linked
-        parts.append(text)
-        if in_link:
-            linked += len(text.strip())
-
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
+        value = (values[0] or values[1] or values[2]).lower()
+        if key.lower() == "role":
+            found = max(found, YES if value in _ROLES and name not in ("html", "body") else NO)
             continue
-        if m[1]:
-            if name == "a":
-                in_link = False
+        for word in value.split():
+            parts = _PARTS.findall(word)
+            if not parts or parts[0] in _TURNED:
+                continue
+            if name in ("html", "body", *_MAIN):
+                found = max(found, COMMENT if name == "article" and parts[-1] in _COMMENTS else NO)
+            elif parts[-1] in _COMMENTS:
+                found = COMMENT
+            elif word in SURE:
+                found = max(found, YES)
+            elif not HINTS.isdisjoint(parts):
+                found = max(found, HINT)
+    return found
+
+
+@dataclass
+class Line:
+    text: str
+    weight: int
+    mark: int  # of the boilerplate elements around it
+    parent: int  # number of the element around it
+    textual: bool
+
+
+class Page:
+    """Lines, boilerplate elements and articles of one page, read in one pass."""
+
+    def __init__(self, page: str):
+        self.lines: list[Line] = []
+        #: boilerplate elements: (suspicion, first line, mark around, mark around that holds in articles)
+        self.marks: list[tuple[int, int, int, int]] = [(NO, 0, 0, 0)]
+        #: mark -> (line where it ended, whether by an end tag)
+        self.ends: dict[int, tuple[int, bool]] = {}
+        self.articles: list[tuple[int, int]] = []
+        self._titles: list[int] = []
+        self._stack: list[tuple[str, int, int, int]] = []  # (name, mark before, own mark, number)
+        self._scopes: list[Counter] = [Counter()]
+        self._mains: Counter = Counter()
+        self._mark = self._number = self._depth = self._start = self._linked = 0
+        self._parts: list[str] = []
+        self._in_link = False
+        self._read(page)
+
+    def _line(self) -> None:
+        text = " ".join(html.unescape("".join(self._parts)).split())
+        if text:
+            top = self._stack[-1] if self._stack else ("", 0, 0, 0)
+            outer = next((e for e in reversed(self._stack[-3:]) if e[0] not in _TEXTUAL and e[0] not in ("li", "ul", "ol")), ("", 0, 0, 0))
+            self.lines.append(Line(text, max(0, len(text) - self._linked), self._mark, outer[3], top[0] in _TEXTUAL))
+        self._parts.clear()
+        self._linked = 0
+
+    def _say(self, text: str) -> None:
+        self._parts.append(text)
+        if self._in_link:
+            self._linked += len(text.strip())
+
+    def _open(self, name: str, attributes: str) -> None:
+        doubt = suspicion(name, attributes, self._depth > 0)
+        before, own = self._mark, 0
+        article = name in _MAIN and doubt == NO
+        if article:
+            self._mark = self.marks[self._mark][3]  # only comments, menus and the like reach into an article
+        elif doubt:
+            self.marks.append((doubt, len(self.lines), self._mark, 0))
+            own = self._mark = len(self.marks) - 1
+            kept = own if doubt == COMMENT or name in ("nav", "aside", "footer", "menu") else self.marks[before][3]
+            self.marks[own] = (doubt, len(self.lines), before, kept)
+        self._number += 1
+        self._stack.append((name, before, own, self._number))
+        self._scopes[-1][name] += 1
+        if name in _MAIN:
+            self._mains[name] += 1
+            self._scopes.append(Counter())
+            if article and self._mark == 0:
+                self._depth += 1
+                if self._depth == 1:
+                    self._start = len(self.lines)
+
+    def _pop(self, closed: bool) -> None:
+        name, before, own, _ = self._stack.pop()
+        if name in _MAIN:
+            self._mains[name] -= 1
+            self._scopes.pop()
+            if not own and self._mark == 0 and self._depth:
+                self._depth -= 1
+                if not self._depth:
+                    self.articles.append((self._start, len(self.lines)))
+        self._scopes[-1][name] -= 1
+        self._mark = before
+        if own:
+            self.ends[own] = (len(self.lines), closed)
+
+    def _end(self, name: str) -> None:
+        """End the innermost such element and what is open in it; an article's edge is only crossed by its like."""
+        if self._mains[name] if name in _MAIN else self._scopes[-1][name]:
+            while self._stack[-1][0] != name:
+                self._pop(self._stack[-1][0] in _TEXTUAL or self._stack[-1][0] in _ENDS)
+            self._pop(True)
+
+    def _read(self, page: str) -> None:
+        at = 0
+        while m := _TAG.search(page, at):
+            if m.start() > at:
+                self._say(page[at : m.start()])
+            at, name = m.end(), (m[2] or "").lower()
+            if not name:
+                continue
+            if m[1]:
+                if name == "a":
+                    self._in_link = False
+                elif name not in _INLINE:
+                    self._line()
+                    self._end(name)
+            elif name in _RAW:
+                self._line()
+                found = _CLOSE[name].search(page, at)
+                at = found.end() if found else len(page)
+            elif name == "a":
+                self._in_link = True
+            elif name == "br" or name == "wbr":
+                self._parts.append(" " if name == "br" else "")
             elif name not in _INLINE:
-                close()
-                if name in _MAIN and article:
-                    article -= 1
-                    lines.extend([("", 0)] * WINDOW)
-            continue
-        if name in _RAW:
-            close()
-            found = re.compile(rf"</{name}(?=[\s/>])[^>]*>?" if name != "head" else r"</head\s*>|(?=<body[\s>])|(?=<article[\s>])", re.I).search(page, at)
-            at = found.end() if found else len(page)
-        elif name not in _VOID and not m[3].endswith("/") and _boilerplate(name, m[3], article > 0) and not (_HOLDS.search(page, at, end := _end_of(page, name, at))):
-            close()
-            if not article:  # inside one, what stands on both sides belongs together
-                lines.append(("", 0))
-            at = end
-        elif name == "a":
-            in_link = True
-        elif name == "br" or name == "wbr":
-            parts.append(" " if name == "br" else "")
-        elif name not in _INLINE:
-            close()
-            in_link = False
-            if name in _MAIN:
-                article += 1
-                lines.extend([("", 0)] * WINDOW)
-    say(page[at:])
-    close()
-    return lines
-
-
-def main_text(page: str | None, window: int = WINDOW) -> str:
-    """The lines between the surge and the dive point around the largest sums."""
-    lines = lines_of(page or "")
-    weights = [w for _, w in lines]
-    n = len(lines)
-    sums = [sum(weights[k : k + window]) for k in range(n)]
-    if not any(weights):
-        return "\n".join(t for t, _ in lines if t)
-    # runs between dives: places where a whole window has no weight
-    runs, start, empty = [], None, 0
-    for k, w in enumerate(weights):
-        if w:
-            start, empty = k if start is None else start, 0
-        else:
-            empty += 1
-            if start is not None and empty >= window:
-                runs.append((start, k - empty + 1))
-                start = None
-    if start is not None:
-        runs.append((start, n - empty))
-    first, last = max(runs, key=lambda r: (sum(sums[r[0] : r[1]]), -r[0]))
-    return "\n".join(t for t, _ in lines[first:last] if t)
+                self._line()
+                self._in_link = False
+                if self._stack and self._stack[-1][0] in ("p", *_HEADINGS):
+                    self._pop(True)
+                while self._stack and self._stack[-1][0] in _ENDS.get(name, ()):
+                    self._pop(True)
+                if name == "h1":
+                    self._titles.append(len(self.lines))
+                if name not in _VOID and not m[3].endswith("/"):
+                    self._open(name, m[3])
+        self._say(page[at:])
+        self._line()
+        while self._stack:
+            self._pop(False)
+
+    def boilerplate(self) -> list[bool]:
+        """Whether each line is one of boilerplate."""
+        chars = [0, *accumulate(x.weight for x in self.lines)]
+        upto = [-1] * len(self.marks)
+        starts = [a for a, _ in self.articles]
+        for k, (doubt, start, around, _) in enumerate(self.marks[1:], 1):
+            end, closed = self.ends[k]
+            if not closed:
+                later = bisect_left(self._titles, start)
+                after = bisect_left(starts, start)
+                end = min([end, *starts[after : after + 1], *self._titles[later : later + 1]])
+            held = chars[end] - chars[start]
+            void = doubt == HINT and not self.articles and held >= SURGE and 2 * held > chars[-1]
+            upto[k] = max(upto[around] if around else -1, -1 if void else end)
+        return [k < upto[x.mark] for k, x in enumerate(self.lines)]
+
+
+def _runs(weights: list[int], window: int, surge: float, dive: float) -> list[tuple[int, int]]:
+    """Ranges of lines between surge and dive points."""
+    total = [0, *accumulate(weights)]
+    n = len(weights)
+    sums = [total[min(n, k + window)] - total[k] for k in range(n)]
+    surge = min(surge, max(sums, default=0) / 2)
+    runs, start = [], None
+    for k, s in enumerate(sums):
+        if start is None and s >= surge > 0:
+            start = k
+        elif start is not None and s < min(dive, surge):
+            runs.append((start, k))
+            start = None
+    return runs if start is None else [*runs, (start, n)]
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> str:
+    """The lines between the surge and the dive point of the page's largest run or article."""
+    read = Page(page or "")
+    lines, left_out = read.lines, read.boilerplate()
+    inside = [False] * len(lines)
+    for a, b in read.articles:
+        inside[a:b] = [True] * (b - a)
+    weights = [0 if out or not known and len(x.text) < 160 and PHRASES.search(x.text) else x.weight for x, out, known in zip(lines, left_out, inside, strict=True)]
+    held = [0, *accumulate(weights)]
+    least = min(LINE, max(weights, default=0) / 2)
+    runs = []
+    for a, b in _runs(weights, window, surge, dive):
+        while a < b and not (weights[a] and (lines[a].textual or weights[a] >= least)):
+            a += 1
+        while b > a and not weights[b - 1]:
+            b -= 1
+        if a < b:
+            runs.append((a, b))
+    weight = lambda r: held[r[1]] - held[r[0]]
+    best = max(runs, key=lambda r: (weight(r), -r[0]), default=(0, 0))
+    article = max(read.articles, key=lambda r: (weight(r), -r[0]), default=(0, 0))
+    if weight(article) and 2 * weight(article) >= weight(best):
+        first, last = article
+    else:
+        shares: Counter = Counter()
+        for k in range(*best):
+            shares[lines[k].parent] += weights[k]
+        home = shares.most_common(1)[0][0] if shares else 0
+        same = [best, *(r for r in runs if lines[max(range(*r), key=weights.__getitem__)].parent == home)]
+        first, last = min(a for a, _ in same), max(b for _, b in same)
+    return "\n".join(x.text for x, out in zip(lines[first:last], left_out[first:last], strict=True) if not out)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
