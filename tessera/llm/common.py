@@ -17,14 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` where that is set. Only where it is unset (a
-    local test) is a local folder made and set for the session's context.
+    It is ``spark.checkpoint.dir`` where that is set. Only where it is unset in a
+    local session (a test) is a local folder made and set for the session's context;
+    on a cluster that is an error, as every machine would have a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tessera-", dir=os.environ.get("TMPDIR", "/tmp")))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
@@ -41,12 +44,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
-def forget(spark: SparkSession) -> int:
-    """Delete the intermediate tables of all queries so far; call it when their results are read or written."""
+def made() -> list[str]:
+    """The folders of intermediate tables so far."""
+    return list(_made)
+
+
+def forget(spark: SparkSession, folders: list[str] | None = None) -> int:
+    """Delete these folders, by default all of this driver's; call it when what was made of them is read or written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     gone = 0
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for folder in made() if folders is None else folders:
+        _made.remove(folder)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
 

@@ -1,7 +1,11 @@
 """Connected components of an edge table, by large-star and small-star steps.
 
 Each round links the neighbours of a vertex to the smallest vertex it knows;
-the rounds end when no edge changes. Only a count of changes reaches the driver.
+the rounds end when no edge changes. Only a count of changes reaches the driver. The
+smallest neighbours are written before they are joined, so that the join of a vertex with
+many edges, a plain shuffle on both sides, can be split.
+
+Ties: equal edges are one. An empty edge table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,13 +44,13 @@ def _mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex moves to the smallest in its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialized(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a vertex, and itself, move to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialized(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()

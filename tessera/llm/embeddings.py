@@ -199,7 +199,8 @@ def near_duplicates(
     counts = found.groupBy("v").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("v").alias("a"), F.col("root").alias("b"))).select("v", "component")
     named = distinct.join(counts, "v", "left").join(classes, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written first, so that the join of a large component can be split
+    roots = materialized(named.groupBy("component").agg(F.min("least").alias("component_id")), "roots")
     named = materialized(named.join(roots, "component").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "named")
     linked = rows.where("ok").join(named, ["label", "embedding"]).select("id", "n_links", "component_id")
     alone = rows.where("not ok").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))

@@ -46,7 +46,7 @@ def _set(spark: SparkSession, **conf: str):
 
 
 def _state(spark: SparkSession, arrivals: str, schema, files_per_batch: int | None) -> DataFrame:
-    """``(digest, keep, n)`` after the whole stream of ``arrivals``; keep: the first of (null id, id, row)."""
+    """``(digest, keep, n)`` after the whole stream of ``arrivals``; keep: the first of (null id, id, content, row)."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -77,8 +77,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     source = only(docs, id=id_col, text=text_col)
-    # the number of an arrival locates its content: its id and its place among equal ids
-    locator = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.monotonically_increasing_id().alias("row"))
+    # where a content is found: the row's id, which of the id's texts, and which of its repeats
+    locator = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.xxhash64("text").alias("content"), F.monotonically_increasing_id().alias("row"))
     arrivals = source.select(F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"), locator.alias("locator"))
     path = shared_path(spark, "arrivals")
     arrivals.write.parquet(path)
@@ -95,9 +95,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _collisions(source: DataFrame, keepers: DataFrame) -> DataFrame:
     """Digests under which a row's bytes differ from the keeper's."""
-    texts = source.select("id", normalised(F.col("text")).alias("bytes")).withColumn("digest", F.sha2(F.col("bytes").cast("binary"), 256))
-    hits = materialized(texts.join(keepers.where("n > 1").select("digest", F.col("keep.id").alias("keep_id")), "digest"), "hits")
-    kept = materialized(hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("bytes").alias("kept_bytes")), "kept")
+    texts = source.select("id", F.xxhash64("text").alias("content"), normalised(F.col("text")).alias("bytes")).withColumn("digest", F.sha2(F.col("bytes").cast("binary"), 256))
+    hits = materialized(texts.join(keepers.where("n > 1").select("digest", "keep"), "digest"), "hits")
+    located = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("content") == F.col("keep.content"))
+    kept = materialized(hits.where(located).groupBy("digest").agg(F.min("bytes").alias("kept_bytes")), "kept")
     # made distinct only after it is written, so that the join of a large group can be split
     return materialized(hits.join(kept, "digest").where("bytes <> kept_bytes").select("digest"), "collisions").distinct()
 

@@ -2,9 +2,10 @@
 
 First-fit decreasing with a tournament tree of the free space in the bins, run
 independently in randomised groups: every piece of a document goes to a group by
-a hash, and the number of groups grows with the bytes of text, so that a group
-has a bounded number of tokens whatever the table's size and however long one
-document is. What first-fit leaves open is closed by dissolving the emptiest
+a hash of its row in the table of pieces, which is written first so that a retry
+deals alike. The number of groups grows with the ids, so that a group has a bounded
+number of them whatever the table's size, however long one document is and however
+many rows share an id. What first-fit leaves open is closed by dissolving the emptiest
 bins and cutting their pieces to the gaps, so a group has as few sequences as
 its tokens allow: less than one sequence of padding a group.
 
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import AMBIGUOUS_SPACE, PATTERN, Cache, byte_symbols
-from .common import only
+from .common import materialized, only
 
-#: Bytes of text in a group, about.
-GROUP_BYTES = 4_000_000
+#: Ids in a group, about, and groups in a task.
+GROUP_IDS, GROUPS = 1_500_000, 16
 _PIECES = "id {kind}, start bigint, length bigint, doc_tokens bigint, ids binary"
 
 
@@ -49,23 +50,25 @@ class Tokens:
         self.ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = special
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.pieces = Cache(lambda p: array("H", self.ordinary(p)).tobytes())
+        #: type code of an id
+        self.code = "H" if max(spec["model"]["vocab"].values(), default=0) < 1 << 16 > max(special.values(), default=0) else "I"
+        self.pieces = Cache(lambda p: array(self.code, self.ordinary(p)).tobytes())
 
     def _plain(self, text: str) -> bytes:
         if AMBIGUOUS_SPACE.search(text):
-            return array("H", self.ordinary(text)).tobytes()
+            return array(self.code, self.ordinary(text)).tobytes()
         head, *rest = text.split(" ")
         pieces = self.pieces
         return (pieces[head] if head else b"") + b"".join([pieces[" " + p] for p in rest])
 
     def __call__(self, text: str | None) -> bytes:
-        """Unsigned 16-bit ids."""
+        """Unsigned ids, of 16 bits where the vocabulary allows, else of 32."""
         if not text:
             return b""
         if self.split_special is None or not any(s in text for s in self.special):
             return self._plain(text)
         parts = self.split_special.split(text)
-        return b"".join(array("H", [self.special[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts) if p)
+        return b"".join(array(self.code, [self.special[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts) if p)
 
 
 _loaded: dict[str, Tokens] = {}
@@ -142,27 +145,29 @@ def pack(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int, int]
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of at most ``length`` ids (unsigned 16-bit) of every whole document with its end token."""
+    """Rows of at most ``length`` ids of every whole document with its end token."""
     source = only(docs, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
-    end = array("H", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, step = _tokens(vocabulary), 2 * length
+        tokens = _tokens(vocabulary)
+        end = array(tokens.code, [end_id]).tobytes()
+        width = array(tokens.code).itemsize
+        step = width * length
         for batch in batches:
             rows, starts, totals, parts = [], [], [], []
             for r, text in enumerate(batch.column("text").to_pylist()):
                 ids = tokens(text) + end
                 for s in range(0, len(ids), step):
                     rows.append(r)
-                    starts.append(s // 2)
-                    totals.append(len(ids) // 2)
+                    starts.append(s // width)
+                    totals.append(len(ids) // width)
                     parts.append(ids[s : s + step])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(pa.array(rows, pa.int64())),
                     pa.array(starts, pa.int64()),
-                    pa.array([len(p) // 2 for p in parts], pa.int64()),
+                    pa.array([len(p) // width for p in parts], pa.int64()),
                     pa.array(totals, pa.int64()),
                     pa.array(parts, pa.binary()),
                 ],
@@ -173,27 +178,29 @@ def pieces_of(docs: DataFrame, vocabulary: str, length: int, end_id: int, id_col
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES
+    docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", group_ids: int = GROUP_IDS
 ) -> DataFrame:
     """Pack all documents: one row per piece, ``(id, start, length, doc_tokens, sequence_id, offset, ids)``.
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers, ``start``
     the number of its document's ids before it, ``offset`` its place in the sequence.
-    ``vocabulary`` must have fewer than 65,536 ids.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`"))).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    groups = max(1, -(-((size["b"] or 0) + size["n"]) // group_bytes))
-    pieces = pieces_of(docs, vocabulary, length, end_id, id_col, text_col)
+    pieces = materialized(pieces_of(docs, vocabulary, length, end_id, id_col, text_col), "pieces")
     kind = pieces.schema["id"].dataType.simpleString()
-    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("id", "start", F.lit(seed)), F.lit(groups)))
+    groups = max(1, -(-(pieces.agg(F.sum("length")).first()[0] or 0) // group_ids))
+    pieces = pieces.withColumn("row", F.monotonically_increasing_id())
+    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)))
+    # tasks grow in number with the groups, not in size
+    tasks = max(min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), groups // GROUPS)
 
     def pack_group(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("id", "ascending"), ("start", "ascending")])
+        group = group.combine_chunks().sort_by([("id", "ascending"), ("start", "ascending"), ("row", "ascending")])
         g, ids = group.column("g")[0].as_py(), group.column("ids").to_pylist()
         parts = pack(group.column("length").to_pylist(), length)
         rows = pa.array([p[0] for p in parts], pa.int64())
         at = pa.array([p[1] for p in parts], pa.int64())
-        wide = [np.frombuffer(ids[k], "<u2", n, 2 * a).astype("<u4").tobytes() for k, a, n, _, _ in parts]
+        widths = [len(x) // n for x, n in zip(ids, group.column("length").to_pylist(), strict=True)]
+        wide = [np.frombuffer(ids[k], f"<u{widths[k]}", n, widths[k] * a).astype("<u4").tobytes() for k, a, n, _, _ in parts]
         return pa.table(
             {
                 "id": group.column("id").take(rows),
@@ -206,7 +213,7 @@ def pack_documents(
             }
         )
 
-    packed = pieces.groupBy("g").applyInArrow(pack_group, f"id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    packed = pieces.repartition(tasks, "g").groupBy("g").applyInArrow(pack_group, f"id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
     return packed.withColumnRenamed("id", id_col)
 
 

@@ -1,21 +1,28 @@
 """Document quality by hierarchical empirical Bayes.
 
-A document's own evidence is the sum of log-likelihood ratios of its features
-(shares of symbol words, repeated neighbours and letters, and length, in bins),
-estimated by counting labelled documents. A site's evidence is what its documents
-show: each host's share of good documents is shrunk towards the global share, and
-each path's towards its host's, as Beta posteriors whose strength is estimated
-from the spread between sites. A sparse site thus has nearly its parent's share. The
-score joins both: logit(path) - logit(global) + logit(document).
-
-Everything that is counted is a grouped aggregate; two numbers reach the driver
-for each level, and a table of bins of fixed size.
+A document's own evidence is the sum of log-likelihood ratios of its features, in bins,
+estimated by counting labelled documents: shares of symbol words, repeated neighbours and
+letters, length, and the mean log-odds of its different words. A word's log-odds are those of
+the word, of its shape and of its character 3-grams, hashed to ``SLOTS`` slots whose counts
+in good and poor documents are grouped sums over one half of the labels (a bounded sample of
+at most ``sample`` documents, those of smallest hash). The other half's documents say what
+the mean is worth, so no label is used for both.
+
+A site's evidence is what its documents show: labelled documents by their label, others by
+their own posterior. Each host's share of good documents is shrunk towards the global share,
+and each path's towards its host's, as Beta posteriors whose strength is estimated from the
+spread between sites. A sparse site thus has nearly its parent's share. The score joins both:
+logit(path) - logit(global) + logit(document). The table ``documents`` has no paths; there
+the host is ``source`` and the level below it ``lang``.
+
+Everything that is counted is a grouped aggregate; two numbers reach the driver for each
+level, a table of bins and one of slots, both of fixed size.
 
 Defined results: null and empty texts have the features of no words; a null host or
-path is a site of its own; unlabelled documents count in their sites by their own
-posterior; with no labels every score is the global prior of one half; rows that
-share an id are each scored; an empty table gives an empty table; extra columns are
-ignored.
+path is a site of its own; a label that is null is not used, of several labels of an id the
+best counts; with no labels every score is the global prior of one half; rows that share an id
+are each scored; ties of the sample's hash are broken by id; an empty table gives an empty
+table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,41 +32,103 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 from math import log
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Cache
 from .common import materialized, only
 
-FEATURES = ("symbols", "repeats", "letters", "length")
+FEATURES = ("symbols", "repeats", "letters", "length", "words")
+#: Words of no worth that every document is taken to have.
+SHRINK = 10
+#: Slots of hashed words, shapes and character 3-grams.
+SLOTS = 1 << 18
 #: Bins of a share.
 BINS = 20
 _SYMBOLS = re.compile(r"[#$%&*|!~^<>=+\\]{2,}|\|")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str | None) -> tuple[int, int, int, int]:
-    """Bins of a whole text's features."""
+_SHAPE = [(re.compile(r"[^\W\d_]*[^\W\d_a-zß-öø-ÿ][^\W\d_]*"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0")]
+
+
+def slots(word: str) -> list[int]:
+    """The slots of a word, its shape and its character 3-grams."""
+    shape = word
+    for pattern, sign in _SHAPE:
+        shape = pattern.sub(sign, shape)
+    low = f" {word.lower()} "
+    parts = [f"w{low}", f"s{shape}", *(low[k : k + 3] for k in range(len(low) - 2))]
+    return [crc32(p.encode()) % SLOTS for p in dict.fromkeys(parts)]
+
+
+def features(text: str | None, words_worth: Cache | None = None) -> tuple[int, int, int, int, int]:
+    """Bins of a whole text's features; ``words_worth`` gives the log-odds of a word."""
     text = text or ""
     words = text.split()
     n = len(words)
     if not n:
-        return (0, 0, 0, 0)
+        return (0, 0, 0, 0, 0)
     symbols = min(1.0, len(_SYMBOLS.findall(text)) / n)
     repeats = sum(map(operator.eq, words, words[1:])) / n
     # the share of letters leaves out symbol runs, which have a feature of their own
     rest = "".join(_SYMBOLS.sub("", text).split())
     letters = sum(map(len, _LETTERS.findall(rest))) / len(rest) if rest else 0.0
-    return (int(symbols * BINS), int(repeats * BINS), int(letters * BINS), n.bit_length())
+    different = sorted(set(words)) if words_worth is not None else ()
+    # the mean of few words is drawn to zero
+    worth = sum(words_worth[w] for w in different) / (len(different) + SHRINK) if different else 0.0
+    return (int(symbols * BINS), int(repeats * BINS), int(letters * BINS), n.bit_length(), max(-BINS, min(BINS, round(worth * BINS / 2))))
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    known = only(labels, id="doc_id", good="quality").where("good is not null and id is not null")
+    return known.groupBy("id").agg((F.max("good") > 0).cast("int").alias("good"))
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
+def _first_half(id_col: str = "id") -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)) == 0
+
+
+def learn_words(docs: DataFrame, known: DataFrame, sample: int, id_col: str, text_col: str) -> np.ndarray | None:
+    """Log-odds of each slot, from the first half of the labels; None if a class is missing."""
+    # at most ``sample`` ids: small enough to be sent to all tasks
+    chosen = known.where(_first_half()).orderBy(F.xxhash64("id"), "id").limit(sample)
+    train = only(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("text", "good")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_slots = Cache(slots)
+        total = np.zeros((2, SLOTS + 1), np.int64)
+        for batch in batches:
+            for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
+                found = sorted({k for w in set((text or "").split()) for k in known_slots[w]})
+                total[good, found] += 1
+                total[good, SLOTS] += 1
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[1, at], pa.int64()), pa.array(total[0, at], pa.int64())], ["slot", "g", "b"])
+
+    counted = train.mapInArrow(count, "slot int, g bigint, b bigint").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    table = np.zeros((2, SLOTS + 1))
+    found = counted.toArrow()  # one row a slot at most
+    table[:, found["slot"].to_numpy()] = found["g"].to_numpy(), found["b"].to_numpy()
+    good, bad = table[:, SLOTS]
+    if not good or not bad:
+        return None
+    g, b = table[:, :SLOTS]
+    return (np.log((g + 1) / (good + 2)) - np.log((b + 1) / (bad + 2))) * ((g + b) > 0)
+
+
+def _marked(docs: DataFrame, worth: np.ndarray | None, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
     source = only(docs, id=id_col, text=text_col, host=host_col, path=path_col).withColumn("k", F.xxhash64("text"))
+    table = None if worth is None else worth.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_worth = None if table is None else Cache(lambda w: float(table[slots(w)].mean()))
         for batch in batches:
-            found = list(zip(*map(features, batch.column("text").to_pylist()), strict=True)) or [()] * 4
+            found = list(zip(*(features(t, words_worth) for t in batch.column("text").to_pylist()), strict=True)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k", "host", "path")), *(pa.array(f, pa.int32()) for f in found)], ["id", "k", "host", "path", *FEATURES])
 
     kind = source.schema["id"].dataType.simpleString()
@@ -67,18 +136,21 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_col
     return source.withColumn("host", F.col("host").cast("string")).withColumn("path", F.col("path").cast("string")).mapInArrow(run, f"id {kind}, k bigint, host string, path string, {columns}")
 
 
-def _evidence(marked: DataFrame, labels: DataFrame, smoothing: float) -> tuple[Column, float]:
-    """The logit of a document by its features, and the prior share of good ones."""
-    known = only(labels, id="doc_id", good="quality").where("good is not null and id is not null").groupBy("id").agg((F.max("good") > 0).cast("int").alias("good"))
+def _evidence(labelled: DataFrame, smoothing: float) -> tuple[Column, float]:
+    """The logit of a document by its features, and the prior share of good ones.
+
+    The worth of ``words`` is counted on the second half of the labels only.
+    """
     bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in FEATURES])).alias("x")
-    counted = marked.join(known, "id").select("good", bins).groupBy("x.f", "x.bin").agg(F.sum("good").alias("g"), F.count(F.lit(1)).alias("n")).collect()
+    used = labelled.where("good is not null").select("id", "good", bins).where((F.col("x.f") != "words") | ~_first_half())
+    counted = used.groupBy("x.f", "x.bin").agg(F.sum("good").alias("g"), F.count(F.lit(1)).alias("n")).collect()
     counts = {(r["f"], r["bin"]): (r["g"], r["n"] - r["g"]) for r in counted}
-    good = sum(g for (f, _), (g, _) in counts.items() if f == FEATURES[0])
-    bad = sum(b for (f, _), (_, b) in counts.items() if f == FEATURES[0])
-    prior = (good + 1) / (good + bad + 2)
+    of = lambda f, c: sum(v[c] for (x, _), v in counts.items() if x == f)
+    prior = (of(FEATURES[0], 0) + 1) / (of(FEATURES[0], 0) + of(FEATURES[0], 1) + 2)
     total = F.lit(log(prior / (1 - prior)))
     for f in FEATURES:
-        size = 1 + max([b for g, b in counts if g == f], default=0)
+        good, bad = of(f, 0), of(f, 1)
+        size = 1 + max([b for g, b in counts if g == f], default=0) - min([0, *(b for g, b in counts if g == f)])
         table = {b: log((g + smoothing) / (good + smoothing * size)) - log((w + smoothing) / (bad + smoothing * size)) for (x, b), (g, w) in counts.items() if x == f}
         if table:
             ratios = F.create_map(*chain.from_iterable((F.lit(b), F.lit(v)) for b, v in sorted(table.items())))
@@ -104,16 +176,29 @@ def _strength(sites: DataFrame, mean: Column, least: float = 2.0, most: float =
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, threshold: float = 0.5, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang"
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.5,
+    smoothing: float = 0.5,
+    sample: int = 20_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    path_col: str = "lang",
 ) -> DataFrame:
     """``(id, k, evidence, host_share, path_share, score, keep)`` of every row; ``k`` is the hash of its text.
 
     ``evidence`` is the document's own posterior. A site's share leaves the document
     itself out.
     """
-    marked = materialized(_marked(docs, id_col, text_col, host_col, path_col), "features")
-    logit, prior = _evidence(marked, labels, smoothing)
-    scored = materialized(marked.select("id", "k", "host", "path", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))).alias("p")), "evidence")
+    known = materialized(_known(labels), "known")
+    marked = materialized(_marked(docs, learn_words(docs, known, sample, id_col, text_col), id_col, text_col, host_col, path_col), "features")
+    # rows without an id have no label: they stay out of the join
+    named = marked.where("id is not null").join(known, "id", "left")
+    labelled = materialized(named.unionByName(marked.where("id is null").withColumn("good", F.lit(None).cast("int"))), "labelled")
+    logit, prior = _evidence(labelled, smoothing)
+    own = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
+    scored = materialized(labelled.select("id", "k", "host", "path", own.alias("own"), F.coalesce(F.col("good").cast("double"), own).alias("p")), "evidence")
     sums = [F.sum("p").alias("p"), F.count(F.lit(1)).alias("n")]
     whole = scored.agg(*sums).first()
     share = min(1 - 1e-6, max(1e-6, whole["p"] / whole["n"])) if whole["n"] else prior
@@ -129,9 +214,9 @@ def classify(
     path_share = (t * F.col("host_share") + F.col("pp") - F.col("p")) / (t + F.col("pn") - 1)
     out = joined.withColumn("host_share", host_share).withColumn("path_share", path_share)
     site = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_share")))
-    total = _logit(site) - log(share / (1 - share)) + _logit(F.col("p"))
+    total = _logit(site) - log(share / (1 - share)) + _logit(F.col("own"))
     score = 1 / (1 + F.exp(-total))
-    return out.select(F.col("id").alias(id_col), "k", F.col("p").alias("evidence"), "host_share", "path_share", score.alias("score"), (score >= threshold).alias("keep"))
+    return out.select(F.col("id").alias(id_col), "k", F.col("own").alias("evidence"), "host_share", "path_share", score.alias("score"), (score >= threshold).alias("keep"))
 
 
 def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 A fingerprint has 8 positional bytes. Fingerprints at ``distance`` d or fewer
 differing bits share at least 8 - d of them, the guaranteed minimum of matches.
-The index posts each fingerprint under every choice of that many positions with
-the bytes there. Of a pair that meets in a posting list the shared positional
-bytes are tallied; a pair with the minimum is verified by its differing bits.
+A list of one positional byte would hold a 256th of all fingerprints, so the count is
+made in the index: each fingerprint is posted under every choice of 8 - d positions with
+the bytes there. Two that meet in a list have the minimum of matches, two that don't have
+fewer; no pair below the minimum is ever formed. The positional bytes that a pair shares
+tell in which list it meets first, where it is verified by its differing bits.
 
 Equal fingerprints are one entry of the index. A list of up to ``pair_limit``
 fingerprints is paired. Longer lists, as of a large group of near copies, are not:
@@ -130,8 +132,7 @@ def links(fps: DataFrame, distance: int = 4, pair_limit: int = 256) -> DataFrame
     some = members.where(F.col("n") <= pair_limit)
     a, b = F.col("a"), F.col("b")
     meet = some.select("key", F.col("fp").alias("a")).join(some.select("key", F.col("fp").alias("b")), "key").where("a < b")
-    tally = F.bit_count(_matches(a, b)) >= 8 - distance
-    pairs = meet.where(tally & _near(a, b, distance) & _first_meeting(F.col("key"), a, b, 8 - distance)).select("a", "b")
+    pairs = meet.where(_near(a, b, distance) & _first_meeting(F.col("key"), a, b, 8 - distance)).select("a", "b")
     many = members.where(F.col("n") > pair_limit).select("fp").distinct()
     return pairs.union(_balls(many, distance // 2)).distinct()
 
@@ -142,7 +143,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     fps = materialized(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     classes = connected_components(links(fps.select("fp"), distance)).select(F.col("v").alias("fp"), "component")
     known = fps.join(classes, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    roots = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written first, so that the join of a large component can be split
+    roots = materialized(known.groupBy("component").agg(F.min("least").alias("component_id")), "roots")
     named = known.join(roots, "component").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 

@@ -82,7 +82,7 @@ def test_first_fit_decreasing_equals_plain():
 
 
 def test_pieces_hold_each_id_once(spark, make, awkward, tokenizer):
-    rows = packing.pack_documents(make(awkward), VOCABULARY, length=256, group_bytes=20_000).collect()
+    rows = packing.pack_documents(make(awkward), VOCABULARY, length=256, group_ids=5_000).collect()
     texts = Counter(raw([*ids_of(tokenizer, t), 1]) for _, t in awkward)
     by_doc, by_sequence = {}, {}
     for r in rows:
