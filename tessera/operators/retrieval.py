@@ -11,12 +11,17 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import hash_embedding
 from tessera.functions.text import search_tokens
 from tessera.functions.vectors import cosine
 
+from .shared import written
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -156,35 +161,80 @@ def diverse(scored: DataFrame, per_document: int, limit: int, score: str = "scor
     return ranked(capped, score, limit, id_col=id_col)
 
 
-def nearest(vectors: DataFrame, query: Sequence[float], limit: int, id_col: str = "vec_id") -> DataFrame:
-    """Exact vector search: the ``limit`` smallest cosine distances, score max(0, 1 - distance) at 8 places."""
-    c = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
-    return vectors.select(id_col, F.round(F.greatest(F.lit(0.0), c), 8).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
-
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "vec_id", query_block: int = 1024, vector_block: int = 65_536) -> DataFrame:
+    """Exact vector search for many queries: ``(query_id, id, rank, score)`` of the ``limit`` best of each.
 
-def hybrid(fragments: DataFrame, queries: DataFrame, p: Policy = GENERATION) -> DataFrame:
-    """The whole lexical search: BM25 and keyword lists, fusion, rerank, diversity.
+    ``vectors`` hold ``id_col`` and ``embedding``, ``queries`` hold query_id and embedding.
+    The score is max(0, cosine) at 8 places, ties go by id; null and zero vectors, and those of
+    another length than the query, have score 0. Both sides are dealt in blocks; a task holds one block of each and
+    keeps the best of its block per query, so what is shuffled last is in proportion to
+    queries and vector blocks, not to pairs.
+    """
+    as_double = F.col("embedding").cast("array<double>")
+    q, v = queries.select("query_id", as_double.alias("embedding")), vectors.select(F.col(id_col).alias("id"), as_double.alias("embedding"))
+    number = lambda df, block: max(1, -(-df.count() // block))
+    nq, nv = number(q, query_block), number(v, vector_block)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("a"), every(nv).alias("b"))
+    v = v.select("id", "embedding", every(nq).alias("a"), F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("b"))
+
+    def units(column: pd.Series, length: int) -> np.ndarray:
+        out = np.zeros((len(column), length))
+        for k, x in enumerate(column):
+            if x is not None and len(x) == length:
+                out[k] = np.nan_to_num(np.asarray(x, np.float64))
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left.query_id[:0], "id": right.id[:0], "score": np.zeros(0)})
+        right = right.sort_values("id", ignore_index=True)
+        length = max((len(x) for x in left.embedding if x is not None), default=0)
+        scores = np.round(np.maximum(0.0, units(left.embedding, length) @ units(right.embedding, length).T), 8)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
+        return pd.DataFrame({"query_id": np.repeat(left.query_id.to_numpy(), order.shape[1]), "id": right.id.to_numpy()[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()})
+
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double"
+    found = q.groupBy("a", "b").cogroup(v.groupBy("a", "b")).applyInPandas(best, kinds)
+    return ranked(found, "score", limit, id_col="id").select("query_id", F.col("id").alias(id_col), "rank", "score")
+
+
+def hybrid(fragments: DataFrame, queries: DataFrame, p: Policy = GENERATION, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """The whole search: vector, BM25 and keyword lists, fusion, rerank, diversity.
 
     Fragments hold doc_id, document, title, content, fragment_type, document_type,
-    source_weight and required_flag; queries query_id and query_text, and vector scores,
-    if any, come as a column ``vector`` of the fragments.
+    source_weight and required_flag; queries query_id and query_text. ``vectors``
+    (doc_id, embedding) and ``query_vectors`` (query_id, embedding) are by default the
+    statistical embeddings of title with content and of the query.
     """
-    scores = bm25(fragments, queries)
-    lexical = ranked(scores, "lexical", p.keyword_candidates)
-    keyword = ranked(scores, "overlap", p.keyword_candidates)
-    fused = ranked(fuse([lexical, keyword], p.rrf_k), "fusion", p.fused_candidates).drop("rank")
+    rows = fused(fragments, queries, p, vectors, query_vectors)
     tokens = queries.select("query_id", search_tokens(F.col("query_text")).alias("q"))
-    rows = fused.join(scores, ["query_id", "doc_id"]).join(fragments.drop("content"), "doc_id").join(tokens, "query_id")
+    rows = rows.join(fragments.drop("content"), "doc_id").join(tokens, "query_id")
     kind = F.col("fragment_type")
     meta = metadata_score(
         p, kind, F.col("document_type"), F.col("source_weight"), (F.col("document_type") == "normative") | (kind == "rule"), (F.col("document_type") == "api") | (kind == "api"), F.col("required_flag")
     )
-    vector = F.col("vector") if "vector" in fragments.columns else F.lit(0.0)
-    total = rerank_score(p, vector, F.col("lexical"), F.col("overlap"), F.col("overlap"), meta, title_bonus(F.col("q"), search_tokens(F.col("title"))), F.col("fusion"))
+    total = rerank_score(p, F.col("vector"), F.col("lexical"), F.col("overlap"), F.col("overlap"), meta, title_bonus(F.col("q"), search_tokens(F.col("title"))), F.col("fusion"))
     best = ranked(rows.withColumn("score", total), "score", p.kept).drop("rank")
     return diverse(best, p.per_document, p.kept).select("query_id", "doc_id", "document", "rank", "score")
 
 
+def fused(fragments: DataFrame, queries: DataFrame, p: Policy = GENERATION, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """``(query_id, doc_id, rank, fusion, vector, lexical, overlap)``: the candidates of the three lists."""
+    embed = hash_embedding(64)
+    vectors = written(fragments.select("doc_id", embed(F.concat_ws(" ", "title", "content")).alias("embedding")) if vectors is None else vectors)
+    query_vectors = written(queries.select("query_id", embed(F.col("query_text")).alias("embedding")) if query_vectors is None else query_vectors)
+    scores = written(bm25(fragments, queries))
+    near = nearest(vectors, query_vectors, p.vector_candidates, "doc_id")
+    lists = [near, ranked(scores, "lexical", p.keyword_candidates), ranked(scores, "overlap", p.keyword_candidates)]
+    best = ranked(fuse(lists, p.rrf_k), "fusion", p.fused_candidates)
+    rows = best.join(scores, ["query_id", "doc_id"], "left").join(vectors, "doc_id").join(query_vectors.withColumnRenamed("embedding", "asked"), "query_id")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    vector = F.round(F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("asked"))), 8)
+    return rows.select("query_id", "doc_id", "rank", "fusion", vector.alias("vector"), zero("lexical"), zero("overlap"))
+
+
 def evaluate(predicted: DataFrame, targets: DataFrame) -> DataFrame:
     """Metrics of each query: Recall@5/10, MRR@10, nDCG@10, HitRate@10 at 6 places.
 

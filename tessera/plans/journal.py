@@ -75,13 +75,13 @@ def reuse_ratios(spark, sf):
     return c.select("user_id", J.ratio(r, p + r).alias("reuse_ratio"), J.ratio(f, p + r + f).alias("error_rate"), J.ratio(F.col("seconds"), p, 3).alias("seconds_per_doc"))
 
 
-@query("""WITH c AS (SELECT lang, list_sort(list_distinct(list(source))) AS roles FROM documents WHERE doc_id % 5 = 0 GROUP BY ALL), q AS (SELECT ['src0', 'src3', 'src5', 'srcX'] AS required)
+@query("""WITH c AS (SELECT lang, list_sort(list_distinct(list(source))) AS roles FROM documents GROUP BY ALL), q AS (SELECT ['src0', 'src3', 'src5', 'srcX'] AS required)
 SELECT lang, len(roles) AS roles, list_sort(list_intersect(required, roles)) AS covered, list_sort(list_filter(required, lambda x: NOT list_contains(roles, x))) AS missing,
 round(len(list_intersect(required, roles)) / 4, 3) AS ratio FROM c, q""")
 def coverage_summary(spark, sf):
-    """Required roles that are covered and missing."""
+    """Required roles that are covered and missing."""
     required = F.array(*map(F.lit, ("src0", "src3", "src5", "srcX")))
-    c = table(spark, sf, "documents").where("doc_id % 5 = 0").groupBy("lang").agg(F.collect_set("source").alias("r"))
+    c = table(spark, sf, "documents").groupBy("lang").agg(F.collect_set("source").alias("r"))
     covered = F.array_sort(F.array_intersect(required, "r"))
     return c.select("lang", F.size("r").cast("bigint").alias("roles"), covered.alias("covered"), F.array_sort(F.array_except(required, "r")).alias("missing"), F.round(F.size(covered) / 4, 3).alias("ratio"))
 
@@ -159,12 +159,12 @@ def base_statistics(spark, sf):
     return rows.select("c_custkey", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("orders", "finished")], "latest", "latest_success")
 
 
-@query("""WITH r AS (SELECT source AS role, count(*) AS documents FROM documents WHERE lang <> 'de' AND doc_id % 3 = 0 GROUP BY ALL), q AS (SELECT DISTINCT source AS role FROM documents UNION SELECT 'srcX')
+@query("""WITH r AS (SELECT source AS role, count(*) AS documents FROM documents WHERE lang <> 'de' GROUP BY ALL), q AS (SELECT DISTINCT source AS role FROM documents UNION SELECT 'srcX')
 SELECT q.role, coalesce(documents, 0) AS documents, documents IS NULL AS missing FROM q LEFT JOIN r USING (role)""")
 def basis_inventory(spark, sf):
     """Documents of each required role, missing roles with zero."""
     docs = table(spark, sf, "documents")
-    have = docs.where("lang <> 'de' and doc_id % 3 = 0").groupBy(F.col("source").alias("role")).agg(F.count(F.lit(1)).alias("documents"))
+    have = docs.where("lang <> 'de'").groupBy(F.col("source").alias("role")).agg(F.count(F.lit(1)).alias("documents"))
     needed = docs.select(F.col("source").alias("role")).union(spark.sql("SELECT 'srcX' AS role")).distinct()
     return needed.join(have, "role", "left").select("role", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), F.col("documents").isNull().alias("missing"))
 

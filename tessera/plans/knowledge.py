@@ -186,15 +186,6 @@ def technology_policy(spark, sf):
     return rows.select("p_partkey", F.regexp_extract("phrase", r"^(\S+)", 1).alias("product"), F.transform(numbers, lambda x: x.cast("int")).alias("version"), "prohibited")
 
 
-@query("""WITH s AS (SELECT doc_id, sum(CASE WHEN contains(lower(text), 'only') THEN 4 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 3.4 ELSE 0 END + CASE WHEN text LIKE '%:%' THEN 1.5 ELSE 0 END + least(2, length(text) / 1000)) AS s FROM documents GROUP BY ALL)
-SELECT doc_id, round(s::DOUBLE, 4) AS importance FROM s""")
-def chunk_importance(spark, sf):
-    """The weighted sum of a chunk's signals."""
-    t = F.lower("text")
-    s = F.when(F.contains(t, F.lit("only")), 4.0).otherwise(0.0) + F.when(F.contains(t, F.lit("license")), 3.4).otherwise(0.0) + F.when(F.contains(t, F.lit(":")), 1.5).otherwise(0.0) + F.least(F.lit(2.0), F.char_length("text") / 1000)
-    return table(spark, sf, "documents").select("doc_id", F.round(s, 4).alias("importance"))
-
-
 @query("""WITH u AS (SELECT label AS space, count(*) AS used, max(vec_id) AS newest FROM embeddings GROUP BY ALL)
 SELECT CAST(coalesce(max(CASE WHEN space = 99 THEN space END), max(CASE WHEN space = 3 THEN space END), arg_max(space, newest)) AS INTEGER) AS space FROM u""")
 def embedding_space(spark, sf):
@@ -225,13 +216,6 @@ def scope_change(spark, sf):
     return found.select("source", (F.col("change") != "unchanged").alias("replaced"))
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g'), ' '), lambda w: length(w) >= 12)))[1:6] AS entities FROM documents""".replace("\\\\", "\\"))
-def entity_candidates(spark, sf):
-    """The first six long words in order."""
-    words = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " ")
-    return table(spark, sf, "documents").select("doc_id", F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: F.char_length(w) >= 12))), 1, 6).alias("entities"))
-
-
 @query("SELECT doc_id, word_count, least(1800, greatest(400, CAST(ceil(n / 2560) AS BIGINT))) AS target, n >= 20000 AS large FROM (SELECT doc_id, strlen(text) AS n, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS word_count FROM documents)".replace("\\\\", "\\"))
 def adaptive_chunking(spark, sf):
     """Bigger chunks for larger documents."""

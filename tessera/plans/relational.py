@@ -176,21 +176,21 @@ def eager_load(spark, sf):
 
 
 @query("""WITH pol AS (SELECT p_brand, max(p_size) AS below FROM part WHERE p_type LIKE '%STEEL%' OR p_size > 45 GROUP BY ALL)
-SELECT p_partkey, part.p_brand, p_size, below FROM part JOIN pol ON part.p_brand = pol.p_brand AND p_size < below WHERE p_size % 7 = 0""")
+SELECT p_partkey, part.p_brand, p_size, below FROM part JOIN pol ON part.p_brand = pol.p_brand AND p_size < below""")
 def theta_below(spark, sf):
     """C14: versions below their product's bound; the equality keeps it a hash join."""
     parts = table(spark, sf, "part")
     policy = parts.where(F.col("p_type").like("%STEEL%") | (F.col("p_size") > 45)).groupBy("p_brand").agg(F.max("p_size").alias("below"))
-    return parts.where("p_size % 7 = 0").join(policy, "p_brand").where("p_size < below").select("p_partkey", "p_brand", "p_size", "below")
+    return parts.join(policy, "p_brand").where("p_size < below").select("p_partkey", "p_brand", "p_size", "below")
 
 
-@query("""WITH k AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 3 = 0), a AS (SELECT p_partkey AS id, p_brand, p_size FROM part WHERE p_partkey % 3 = 1)
+@query("""WITH k AS (SELECT DISTINCT p_brand, p_size FROM part), a AS (SELECT p_partkey AS id, p_brand, p_size FROM part)
 SELECT id, a.p_brand, a.p_size, min(k.p_size) AS above FROM a LEFT JOIN k ON a.p_brand = k.p_brand AND k.p_size > a.p_size GROUP BY ALL""")
 def nearest_above(spark, sf):
     """The next allowed version, as-of style."""
     parts = table(spark, sf, "part")
-    asked = parts.where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("id"), "p_brand", "p_size")
-    known = parts.where("p_partkey % 3 = 0").select("p_brand", "p_size").distinct()
+    asked = parts.select(F.col("p_partkey").alias("id"), "p_brand", "p_size")
+    known = parts.select("p_brand", "p_size").distinct()
     return O.nearest_above(asked, known, "p_brand", "p_size")
 
 
@@ -224,13 +224,13 @@ def coalesce_update(spark, sf):
     return rows.select("o_orderkey", F.coalesce(F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")), "c_mktsegment", F.lit("default")).alias("label"))
 
 
-@query("""WITH a AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS w FROM part WHERE p_size <= 5),
+@query("""WITH a AS (SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS w FROM part),
 c AS (SELECT DISTINCT p_brand, unnest(list_distinct(string_split(lower(p_type), ' '))) AS w FROM part)
 SELECT a.p_partkey, c.p_brand, count(*) AS shared FROM a JOIN c USING (w) WHERE length(w) >= 4 GROUP BY ALL HAVING count(*) >= 2""")
 def token_overlap(spark, sf):
-    """Pairs that share three tokens of four letters, joined on the tokens."""
+    """Pairs that share three tokens of four letters, joined on the tokens."""
     words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("w")
-    a = table(spark, sf, "part").where("p_size <= 5").select("p_partkey", words(F.concat_ws(" ", "p_name", "p_type")))
+    a = table(spark, sf, "part").select("p_partkey", words(F.concat_ws(" ", "p_name", "p_type")))
     c = table(spark, sf, "part").select("p_brand", words(F.col("p_type"))).distinct()
     return a.where(F.char_length("w") >= 4).join(c, "w").groupBy("p_partkey", "p_brand").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 

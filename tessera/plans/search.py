@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import hash_embedding
 from tessera.functions.text import search_tokens
 from tessera.functions.vectors import normalised
 from tessera.operators import retrieval as R
@@ -40,28 +41,64 @@ def keyword_overlap(spark, sf):
     return R.bm25(fragments(spark, sf), benchmark_queries(spark, sf)).where("overlap >= 0.5").select("query_id", "doc_id", F.round("overlap", 6).alias("overlap"))
 
 
-_FUSED = """, both_lists AS (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 36 UNION ALL SELECT query_id, doc_id, rank FROM kw WHERE rank <= 36),
-fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS fusion FROM both_lists GROUP BY ALL),
+#: The statistical embedding, independently: sparse slots (owner, slot, x) of unit vectors.
+_SLOT = "list_reduce([0] || list_transform(range(1, length(p) + 1), lambda i: unicode(substr(p, i, 1))::BIGINT), lambda h, c: (h * 131 + c) % 64)"
+_EVEN = "list_sum(list_transform(range(1, length(p) + 1), lambda i: unicode(substr(p, i, 1)))) % 2 = 0"
+_WORDS_OF_AXES = "(VALUES (0, ['api', 'openapi', 'endpoint', 'rest', 'graphql']), (1, ['postgres', 'database', 'pgvector', 'sql', 'schema']), (2, ['service', 'component', 'module', 'backend', 'frontend']), (3, ['rule', 'must', 'shall', 'required', 'обязан', 'должен']), (4, ['integration', 'event', 'queue', 'message', 'broker']), (5, ['risk', 'constraint', 'assumption', 'nfr', 'latency'])) AS x(axis, words)"
+
+
+def embedding_sql(name: str, source: str) -> str:
+    """CTEs ending in ``name(owner, slot, x)`` of ``source(owner, body)``."""
+    return rf"""{name}_n AS (SELECT owner, t, count(*) AS n FROM (SELECT owner, unnest(list_transform(regexp_extract_all(body, '[\p{{L}}\p{{N}}_\-/\.]+'), lambda t: lower(t))) AS t FROM {source}) GROUP BY ALL),
+{name}_w AS (SELECT owner, t, 0.5::DOUBLE + 0.5 * n / max(n) OVER (PARTITION BY owner) AS w FROM {name}_n),
+{name}_p AS (SELECT t, unnest(parts) AS p, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT t, [t] || list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) || CASE WHEN length(t) >= 5 THEN [substr(t, 1, 5), substr(t, -5)] ELSE [] END AS parts FROM (SELECT DISTINCT t FROM {name}_w))),
+{name}_s AS (SELECT t, {_SLOT} AS slot, CASE WHEN {_EVEN} THEN 1.0::DOUBLE ELSE -1.0 END / k AS share FROM {name}_p),
+{name}_x AS (SELECT owner, slot, w * share AS x FROM {name}_w JOIN {name}_s USING (t) UNION ALL SELECT owner, axis, 0.75 FROM {name}_w JOIN {_WORDS_OF_AXES} ON list_contains(words, t)),
+{name}_r AS (SELECT owner, slot, sum(x) AS x FROM {name}_x GROUP BY ALL),
+{name} AS (SELECT owner, slot, x / sqrt(sum(x * x) OVER (PARTITION BY owner)) AS x FROM {name}_r)"""
+
+
+_FUSED = (
+    ", fv_in AS (SELECT doc_id AS owner, title || ' ' || content AS body FROM frag), qv_in AS (SELECT item_id AS owner, text AS body FROM benchmark), "
+    + embedding_sql("fv", "fv_in")
+    + ", "
+    + embedding_sql("qv", "qv_in")
+    + """, cosines AS (SELECT q.owner AS query_id, f.owner AS doc_id, sum(q.x * f.x) AS c FROM qv q JOIN fv f USING (slot) GROUP BY ALL),
+vec AS (SELECT item_id AS query_id, frag.doc_id, round(greatest(0, coalesce(c, 0)), 8) AS vector FROM benchmark CROSS JOIN frag LEFT JOIN cosines ON query_id = item_id AND cosines.doc_id = frag.doc_id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector DESC, doc_id) AS rank FROM vec),
+lists AS (SELECT query_id, doc_id, rank FROM vr WHERE rank <= 36 UNION ALL SELECT query_id, doc_id, rank FROM lex WHERE rank <= 36 UNION ALL SELECT query_id, doc_id, rank FROM kw WHERE rank <= 36),
+fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS fusion FROM lists GROUP BY ALL),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, doc_id) AS rank FROM fu) WHERE rank <= 24)
 """
+)
+
+
+@query(
+    "WITH tv_in AS (SELECT doc_id AS owner, text AS body FROM documents), "
+    + embedding_sql("tv", "tv_in")
+    + """, slots AS (SELECT doc_id, unnest(range(64)) AS slot FROM documents)
+SELECT doc_id, list(round(coalesce(x, 0), 6) + 0.0 ORDER BY slots.slot) AS embedding FROM slots LEFT JOIN tv ON owner = doc_id AND tv.slot = slots.slot GROUP BY doc_id"""
+)
+def hash_embeddings(spark, sf):
+    """Statistical embeddings of whole texts."""
+    found = table(spark, sf, "documents").select("doc_id", hash_embedding(64)(F.col("text")).alias("e"))
+    return found.select("doc_id", F.transform("e", lambda x: F.round(x, 6) + 0.0).alias("embedding"))
 
 
 @query(_BM25 + _FUSED + "SELECT query_id, doc_id, rank, round(fusion, 8) AS fusion FROM top")
 def rrf_fuse(spark, sf):
-    """Fusion of the lexical and the keyword list."""
-    scores = R.bm25(fragments(spark, sf), benchmark_queries(spark, sf))
-    p = R.GENERATION
-    fused = R.fuse([R.ranked(scores, "lexical", p.keyword_candidates), R.ranked(scores, "overlap", p.keyword_candidates)], p.rrf_k)
-    return R.ranked(fused, "fusion", p.fused_candidates).select("query_id", "doc_id", "rank", F.round("fusion", 8).alias("fusion"))
+    """Fusion of the vector, the lexical and the keyword list."""
+    found = R.fused(fragments(spark, sf), benchmark_queries(spark, sf))
+    return found.select("query_id", "doc_id", "rank", F.round("fusion", 8).alias("fusion"))
 
 
 _RERANK = f""", qtok AS (SELECT item_id AS query_id, list_distinct({tokens_sql("text")}) AS q FROM benchmark),
-rows AS (SELECT top.query_id, top.doc_id, document, lexical, overlap, fusion, q, list_distinct({tokens_sql("title")}) AS tt,
+rows AS (SELECT top.query_id, top.doc_id, document, vector, coalesce(lexical, 0) AS lexical, coalesce(overlap, 0) AS overlap, fusion, q, list_distinct({tokens_sql("title")}) AS tt,
   coalesce(map {{'requirement': 1.15, 'component': 1.1, 'integration': 1.08, 'api': 1.04, 'rule': 0.95}}[fragment_type], 1.0)::DOUBLE
   * coalesce(map {{'architecture': 1.1, 'api': 1.05, 'normative': 0.98, 'technology': 1.0}}[document_type], 1.0)::DOUBLE * source_weight::DOUBLE
   * CASE WHEN document_type = 'api' OR fragment_type = 'api' THEN 1.02 ELSE 1.0 END::DOUBLE * CASE WHEN required_flag THEN 1.02 ELSE 1.0 END::DOUBLE AS meta
-  FROM top JOIN bm USING (query_id, doc_id) JOIN frag USING (doc_id) JOIN qtok USING (query_id)),
-sco AS (SELECT query_id, doc_id, document, round(greatest(lexical, overlap) * 0.3::DOUBLE + meta * 0.16::DOUBLE + overlap * 0.2::DOUBLE
+  FROM top JOIN vec USING (query_id, doc_id) LEFT JOIN bm USING (query_id, doc_id) JOIN frag USING (doc_id) JOIN qtok USING (query_id)),
+sco AS (SELECT query_id, doc_id, document, round(vector * 0.34::DOUBLE + greatest(lexical, overlap) * 0.3::DOUBLE + meta * 0.16::DOUBLE + overlap * 0.2::DOUBLE
   + CASE WHEN len(tt) > 0 THEN len(list_intersect(q, tt)) / len(tt) ELSE 0 END * 0.15::DOUBLE + fusion * 0.12::DOUBLE, 8) AS score FROM rows),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sco) WHERE r <= 12),
 cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document ORDER BY score DESC, doc_id) AS d FROM kept) WHERE d <= 3),
@@ -105,22 +142,19 @@ def eval_metrics(spark, sf):
     return R.macro_average(_cases(spark, sf))
 
 
-_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-
-
-@query(f"SELECT e.vec_id, round(greatest(0, {_COS}), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY round(greatest(0, {_COS}), 8) DESC, e.vec_id LIMIT 20")
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 8) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""")
 def cosine_topk(spark, sf):
-    """The twenty nearest vectors of vector 0, by exact cosine."""
+    """The twenty nearest of all vectors to every vector whose id is divisible by 20, by exact cosine."""
     vectors = table(spark, sf, "embeddings")
-    asked = vectors.where("vec_id = 0").select("embedding").first()["embedding"]
-    return R.nearest(vectors, asked, 20).select("vec_id", F.round("score", 6).alias("score"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.nearest(vectors, asked, 20).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5))[1:8] AS head FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) + 0.0) AS unit FROM embeddings")
 def l2_normalise(spark, sf):
-    """The first eight components of unit vectors."""
-    unit = normalised(F.col("embedding"), 64)
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice(unit, 1, 8), lambda x: F.round(x, 5)).alias("head"))
+    """Unit vectors."""
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(normalised(F.col("embedding"), 64), lambda x: F.round(x, 5) + 0.0).alias("unit"))
 
 
 @query(_BM25 + "SELECT doc_id, arg_max(query_id, (lexical, -query_id)) AS query_id, round(max(lexical), 6) AS score FROM bm GROUP BY doc_id")

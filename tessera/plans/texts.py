@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.functions.hashing import hash_embedding
 from tessera.operators import chunks as C
 from tessera.operators import relational as O
 
@@ -107,13 +106,13 @@ def rule_conflicts(spark, sf):
     return rows.groupBy("signature").agg(F.count(F.lit(1)).alias("rules"), both.alias("conflict"), F.array_sort(F.collect_list("doc_id")).alias("codes")).where("rules > 1")
 
 
-@query(r"""WITH i AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+)', 1)) AS item FROM documents WHERE lang = 'en'),
+@query(r"""WITH i AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+)', 1)) AS item FROM documents),
 d AS (SELECT DISTINCT doc_id, lower(item) AS item FROM i)
-SELECT item, count(*) AS documents FROM d GROUP BY ALL HAVING count(*) >= 20""")
+SELECT item, count(*) AS documents FROM d GROUP BY ALL""")
 def typed_items(spark, sf):
     """Capitalised candidates, once a document, counted."""
-    items = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1)), F.lower))).alias("item"))
-    return items.groupBy("item").agg(F.count(F.lit(1)).alias("documents")).where("documents >= 20")
+    items = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1)), F.lower))).alias("item"))
+    return items.groupBy("item").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query(r"""SELECT doc_id, list_sort(list_intersect(['only', 'license', 'entre', 'with', 'from', 'avec'], string_split(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g'), ' '))) AS markers FROM documents""")
@@ -124,15 +123,6 @@ def marker_match(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_sort(F.array_intersect(catalogue, words)).alias("markers"))
 
 
-@query(r"""SELECT page_id, n, term, definition FROM (SELECT page_id, n, regexp_extract(l, '(class|lang|charset)="([^"]+)"', 1) AS term, regexp_extract(l, '(class|lang|charset)="([^"]+)"', 2) AS definition
-FROM (SELECT page_id, unnest(range(len(string_split(html, '>')))) AS n, unnest(string_split(html, '>')) AS l FROM pages)) WHERE term <> ''""")
-def term_definitions(spark, sf):
-    """A pattern of two groups on each part of a text."""
-    pattern = r'(class|lang|charset)="([^"]+)"'
-    parts = table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", ">")).alias("n", "l"))
-    return parts.select("page_id", F.col("n").cast("bigint").alias("n"), F.regexp_extract("l", pattern, 1).alias("term"), F.regexp_extract("l", pattern, 2).alias("definition")).where("term <> ''")
-
-
 @query("SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) < 120 THEN true ELSE length(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 8 END AS low_signal FROM documents".replace("\\\\", "\\"))
 def low_signal(spark, sf):
     """Short texts, and those with few letters."""
@@ -167,18 +157,6 @@ def json_recovery(spark, sf):
     return table(spark, sf, "events").select("event_id", F.try_variant_get(X.json_object(said), "$.k", "bigint").alias("k"))
 
 
-@query("""WITH q AS (SELECT conv_id, text AS quote FROM conversations WHERE role = 'user' AND turn = 1), f AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
-SELECT q.conv_id, coalesce(arg_max(f.turn, (CASE WHEN contains(f.text, substr(quote, 1, 12)) THEN length(quote) ELSE 0 END, -f.turn)), -1) AS turn FROM q LEFT JOIN f USING (conv_id) GROUP BY ALL""")
-def argmax_match(spark, sf):
-    """The answer that holds the start of a quote, else the first, by one aggregate."""
-    c = table(spark, sf, "conversations")
-    q = c.where("role = 'user' and turn = 1").select("conv_id", F.col("text").alias("quote"))
-    f = c.where("role = 'assistant'").select("conv_id", "turn", "text")
-    score = F.when(F.contains("text", F.substring("quote", 1, 12)), F.char_length("quote")).otherwise(0)
-    rows = q.join(f, "conv_id", "left").groupBy("conv_id").agg(F.max(F.when(F.col("turn").isNotNull(), F.struct(score.alias("s"), (-F.col("turn")).alias("t")))).alias("m"))
-    return rows.select("conv_id", F.coalesce(-F.col("m.t"), F.lit(-1)).alias("turn"))
-
-
 @query("""SELECT doc_id, list_sort(list_filter(['goal', 'limit', 'terms'], lambda x: CASE x WHEN 'goal' THEN contains(lower(text), 'the') OR contains(lower(text), 'der') WHEN 'limit' THEN contains(lower(text), 'only') ELSE contains(lower(text), 'license') END)) AS ready,
 CASE WHEN (CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'der') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'only') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 1 ELSE 0 END) / 3 >= 0.8 THEN 'ready'
 WHEN (CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'der') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'only') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 1 ELSE 0 END) / 3 >= 0.45 THEN 'partial' ELSE 'missing' END AS state FROM documents""")
@@ -202,17 +180,12 @@ def chunk_stats(spark, sf):
     return C.distribution(C.chunks(table(spark, sf, "documents")), "doc_id")
 
 
-@query()
-def hash_embeddings(spark, sf):
-    """Statistical embeddings."""
-    return table(spark, sf, "documents").select("doc_id", hash_embedding(64)(F.col("text")).alias("embedding"))
-
-
 @query("""WITH s AS (SELECT l_orderkey, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_quantity, l_extendedprice) AS sizes FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, sizes[1] AS first_size, sizes[1] <= 60 AS first_fits, len(sizes) AS items FROM s""")
+SELECT l_orderkey, sizes, list_transform(range(1, len(sizes) + 1), lambda i: list_contains(list_reduce([{'sum': 0::BIGINT, 'at': 0::BIGINT, 'took': []::BIGINT[]}] || list_transform(sizes, lambda x, k: {'sum': x, 'at': k, 'took': []::BIGINT[]}),
+  lambda a, b: CASE WHEN a.sum + b.sum <= 60 THEN {'sum': a.sum + b.sum, 'at': b.at, 'took': list_append(a.took, b.at)} ELSE {'sum': a.sum, 'at': b.at, 'took': a.took} END).took, i)) AS taken FROM s""")
 def budget_select(spark, sf):
-    """F8: greedy choice in order within a budget; the whole flags are tested against a fold."""
+    """F8: greedy choice in order within a budget: which items of each key are taken."""
     sizes = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice"))), lambda x: x["l_quantity"].cast("bigint"))
     s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(sizes.alias("sizes"))
     taken = C.within_budget(F.col("sizes"), 60)
-    return s.select("l_orderkey", F.col("sizes")[0].alias("first_size"), taken[0].alias("first_fits"), F.size("sizes").cast("bigint").alias("items"))
+    return s.select("l_orderkey", "sizes", taken.alias("taken"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import journal, knowledge, pages, relational, rulebook, search, texts, versions
+from tessera.plans import facts, journal, knowledge, pages, relational, rulebook, search, texts, versions
 from tessera.plans.base import QUERIES, SQL
 
-MODULES = (journal, knowledge, pages, relational, rulebook, search, texts, versions)
+MODULES = (facts, journal, knowledge, pages, relational, rulebook, search, texts, versions)
 
 
 def queries():

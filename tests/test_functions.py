@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.functions import chunking as C
 from tessera.functions import text as X
-from tessera.functions.hashing import embed
+from tessera.functions.hashing import AXES, embeddings
 from tessera.operators import chunks, retrieval
 
 words = st.lists(st.text("abcde.", min_size=1, max_size=8), min_size=1, max_size=400)
@@ -48,10 +52,30 @@ def test_compaction_budget_adaptive():
     assert C.adaptive(10_000_000, 400, 1200)[0] == 1800
 
 
+def plain_embedding(text, length):
+    """One token after the other."""
+    uses = {}
+    for t in re.findall(r"[\w\-/\.]+", text or ""):
+        uses[t.lower()] = uses.get(t.lower(), 0) + 1
+    out = [0.0] * length
+    for t, n in uses.items():
+        stands = [t] + [t[k : k + 3] for k in range(len(t) - 2)] + ([t[:5], t[-5:]] if len(t) > 4 else [])
+        for k, part in enumerate(stands, 1):
+            number = sum(ord(c) * 131 ** (len(part) - 1 - i) for i, c in enumerate(part))
+            out[number % length] += (-1) ** sum(map(ord, part)) * (0.5 + 0.5 * n / max(uses.values())) / k
+        for axis, words in enumerate(AXES):
+            if axis < length:
+                out[axis] += 0.75 * (t in words)
+    norm = sum(x * x for x in out) ** 0.5
+    return [x / norm if norm else 0.0 for x in out]
+
+
 def test_hash_embedding():
-    assert embed("", 16) == [0.0] * 16
-    v = embed("api service api", 16)
-    assert abs(sum(x * x for x in v) - 1) < 1e-9 and v == embed("API service api", 16)
+    texts = ["", None, "!?", "api service api", "Die größte Änderung x/y-z v1.2 must", "ab abcd abcde обязан " * 9]
+    for length in (4, 16, 64):
+        got = embeddings(pd.Series(texts, index=range(5, 5 + len(texts))), length)
+        assert np.allclose(got, [plain_embedding(t, length) for t in texts], atol=1e-12)
+    assert embeddings(pd.Series([], dtype=object), 8).shape == (0, 8)
 
 
 def test_fusion(spark):
