@@ -3,7 +3,7 @@
 A document's own evidence is the sum of log-likelihood ratios of its features, in bins,
 estimated by counting labelled documents: shares of symbol words, repeated neighbours and
 letters, length, and the mean log-odds of its different words. A word's log-odds are those of
-the word, of its shape and of its character 3-grams, hashed to ``SLOTS`` slots whose counts
+the word, of its shape and of its last three characters, hashed to ``SLOTS`` slots whose counts
 in good and poor documents are grouped sums over one half of the labels (a bounded sample of
 at most ``sample`` documents, those of smallest hash). The other half's documents say what
 the mean is worth, so no label is used for both.
@@ -29,9 +29,10 @@ from __future__ import annotations
 
 import operator
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
-from math import log
+from math import fsum, log
 from zlib import crc32
 
 import numpy as np
@@ -45,7 +46,9 @@ from .common import materialized, only
 FEATURES = ("symbols", "repeats", "letters", "length", "words")
 #: Words of no worth that every document is taken to have.
 SHRINK = 10
-#: Slots of hashed words, shapes and character 3-grams.
+#: Documents with fewer different words say nothing by their words.
+FEW = 16
+#: Slots of hashed words, shapes and word ends.
 SLOTS = 1 << 18
 #: Bins of a share.
 BINS = 20
@@ -53,35 +56,35 @@ _SYMBOLS = re.compile(r"[#$%&*|!~^<>=+\\]{2,}|\|")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-_SHAPE = [(re.compile(r"[^\W\d_]*[^\W\d_a-zß-öø-ÿ][^\W\d_]*"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0")]
+#: Letters and digits to the signs of a shape, up to the Cyrillic block.
+_SIGNS = {c: "A" if chr(c).isupper() else "a" if chr(c).isalpha() else "0" for c in range(0x530) if chr(c).isalnum()}
+_RUN = re.compile(r"(.)\1+", re.S)
+_shapes = Cache(lambda signs: crc32(b"s" + _RUN.sub(r"\1", signs).encode()) % SLOTS)
 
 
-def slots(word: str) -> list[int]:
-    """The slots of a word, its shape and its character 3-grams."""
-    shape = word
-    for pattern, sign in _SHAPE:
-        shape = pattern.sub(sign, shape)
-    low = f" {word.lower()} "
-    parts = [f"w{low}", f"s{shape}", *(low[k : k + 3] for k in range(len(low) - 2))]
-    return [crc32(p.encode()) % SLOTS for p in dict.fromkeys(parts)]
+def slots(word: str) -> tuple[int, int, int]:
+    """The slots of a word, its shape (with runs of one sign as one) and its last 3 characters."""
+    return crc32(word.encode()) % SLOTS, _shapes[word.translate(_SIGNS)], crc32(b"e" + word[-3:].encode()) % SLOTS
 
 
-def features(text: str | None, words_worth: Cache | None = None) -> tuple[int, int, int, int, int]:
-    """Bins of a whole text's features; ``words_worth`` gives the log-odds of a word."""
+def features(text: str | None, table: array | None = None) -> tuple[int, int, int, int, int | None]:
+    """Bins of a whole text's features; ``table`` has the log-odds of each slot."""
     text = text or ""
     words = text.split()
     n = len(words)
     if not n:
-        return (0, 0, 0, 0, 0)
+        return (0, 0, 0, 0, None)
     symbols = min(1.0, len(_SYMBOLS.findall(text)) / n)
     repeats = sum(map(operator.eq, words, words[1:])) / n
     # the share of letters leaves out symbol runs, which have a feature of their own
     rest = "".join(_SYMBOLS.sub("", text).split())
     letters = sum(map(len, _LETTERS.findall(rest))) / len(rest) if rest else 0.0
-    different = sorted(set(words)) if words_worth is not None else ()
-    # the mean of few words is drawn to zero
-    worth = sum(words_worth[w] for w in different) / (len(different) + SHRINK) if different else 0.0
-    return (int(symbols * BINS), int(repeats * BINS), int(letters * BINS), n.bit_length(), max(-BINS, min(BINS, round(worth * BINS / 2))))
+    worth = None
+    different = set(words) if table is not None else ()
+    if len(different) >= FEW:
+        # the mean of few words is drawn to zero; fsum: in any order
+        worth = fsum(table[a] + table[b] + table[c] for a, b, c in map(slots, different)) / 3 / (len(different) + SHRINK)
+    return (int(symbols * BINS), int(repeats * BINS), int(letters * BINS), n.bit_length(), None if worth is None else max(-BINS, min(BINS, round(worth * BINS / 2))))
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -100,11 +103,10 @@ def learn_words(docs: DataFrame, known: DataFrame, sample: int, id_col: str, tex
     train = only(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("text", "good")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_slots = Cache(slots)
         total = np.zeros((2, SLOTS + 1), np.int64)
         for batch in batches:
             for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
-                found = sorted({k for w in set((text or "").split()) for k in known_slots[w]})
+                found = sorted({k for w in set((text or "").split()) for k in slots(w)})
                 total[good, found] += 1
                 total[good, SLOTS] += 1
         at = np.flatnonzero(total.any(axis=0))
@@ -123,12 +125,11 @@ def learn_words(docs: DataFrame, known: DataFrame, sample: int, id_col: str, tex
 
 def _marked(docs: DataFrame, worth: np.ndarray | None, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
     source = only(docs, id=id_col, text=text_col, host=host_col, path=path_col).withColumn("k", F.xxhash64("text"))
-    table = None if worth is None else worth.astype(np.float32)
+    table = None if worth is None else array("f", worth.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_worth = None if table is None else Cache(lambda w: float(table[slots(w)].mean()))
         for batch in batches:
-            found = list(zip(*(features(t, words_worth) for t in batch.column("text").to_pylist()), strict=True)) or [()] * len(FEATURES)
+            found = list(zip(*(features(t, table) for t in batch.column("text").to_pylist()), strict=True)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k", "host", "path")), *(pa.array(f, pa.int32()) for f in found)], ["id", "k", "host", "path", *FEATURES])
 
     kind = source.schema["id"].dataType.simpleString()
@@ -142,7 +143,7 @@ def _evidence(labelled: DataFrame, smoothing: float) -> tuple[Column, float]:
     The worth of ``words`` is counted on the second half of the labels only.
     """
     bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in FEATURES])).alias("x")
-    used = labelled.where("good is not null").select("id", "good", bins).where((F.col("x.f") != "words") | ~_first_half())
+    used = labelled.where("good is not null").select("id", "good", bins).where((F.col("x.f") != "words") | F.col("x.bin").isNotNull() & ~_first_half())
     counted = used.groupBy("x.f", "x.bin").agg(F.sum("good").alias("g"), F.count(F.lit(1)).alias("n")).collect()
     counts = {(r["f"], r["bin"]): (r["g"], r["n"] - r["g"]) for r in counted}
     of = lambda f, c: sum(v[c] for (x, _), v in counts.items() if x == f)
@@ -178,7 +179,7 @@ def _strength(sites: DataFrame, mean: Column, least: float = 2.0, most: float =
 def classify(
     docs: DataFrame,
     labels: DataFrame,
-    threshold: float = 0.5,
+    threshold: float = 0.3,
     smoothing: float = 0.5,
     sample: int = 20_000,
     id_col: str = "doc_id",
@@ -189,7 +190,8 @@ def classify(
     """``(id, k, evidence, host_share, path_share, score, keep)`` of every row; ``k`` is the hash of its text.
 
     ``evidence`` is the document's own posterior. A site's share leaves the document
-    itself out.
+    itself out. A document is rejected below ``threshold``: losing a good one is worse than
+    keeping a poor one.
     """
     known = materialized(_known(labels), "known")
     marked = materialized(_marked(docs, learn_words(docs, known, sample, id_col, text_col), id_col, text_col, host_col, path_col), "features")

@@ -40,7 +40,7 @@ def plain_quality(marked, known, smoothing=0.5):
     prior = (sum(known.get(r.id, 0) for r in marked if r.id in known) + 1) / (sum(r.id in known for r in marked) + 2)
     logits = np.full(len(marked), log(prior / (1 - prior)))
     for f in quality.FEATURES:
-        seen = [(getattr(r, f), known[r.id]) for r in marked if r.id in known and (f != "words" or r.second)]
+        seen = [(getattr(r, f), known[r.id]) for r in marked if r.id in known and getattr(r, f) is not None and (f != "words" or r.second)]
         n = {g: sum(y == g for _, y in seen) for g in (0, 1)}
         if not seen:
             continue
@@ -81,7 +81,7 @@ def plain_quality(marked, known, smoothing=0.5):
 
 def test_quality_by_force(spark):
     r = random.Random(9)
-    rows = [(i, " ".join(r.choice(["fine", "words", "of", "prose", "***", "##", "x1"][: 4 if r.random() < 0.6 else 7]) for _ in range(r.randint(0, 30))), r.choice(["a", "b", "c", None]), r.choice(["p", "q"])) for i in range(150)]
+    rows = [(i, " ".join(r.choice(["fine", "words", "of", "prose", "***", "##", "x1"][: 4 if r.random() < 0.6 else 7]) for _ in range(r.randint(0, 30))) + " w".join(map(str, range(r.choice([0, 30])))), r.choice(["a", "b", "c", None]), r.choice(["p", "q"])) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
     labels = spark.createDataFrame([(i, int("*" not in t), 0) for i, t, _, _ in rows[:90]] + [(3, 0, 0), (None, 1, 0), (95, None, 0)], "doc_id bigint, quality int, id int")
     known = {i: int("*" not in t) for i, t, _, _ in rows[:90]}
