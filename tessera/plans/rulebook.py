@@ -16,10 +16,10 @@ from .base import query, table
 
 #: Patterns of the non-functional rules: fixed values. "ha" is a bare substring.
 NFR = {
-    "VR-NFR-01": "security secure authentication authorization auth oauth sso mfa rbac tls ssl encryption шифр безопас аутенти авториз доступ роль персональн".split(),
+    "VR-NFR-01": ("security", "secure", "authentication", "authorization", "auth", "oauth", "sso", "mfa", "rbac", "tls", "ssl", "encryption", "шифр", "безопас", "аутенти", "авториз", "доступ", "роль", "персональн"),
     "VR-NFR-02": ["availability", "fault tolerance", "failover", "ha", "replication", "redundancy", "resilience", "доступност", "отказоуст", "резервирован", "реплика", "кластер"],
-    "VR-NFR-03": "performance latency throughput rps load scalability scale cache sla производ задерж нагруз масштаб кэш".split(),
-    "VR-NFR-04": "monitoring observability metrics logs logging tracing alert prometheus grafana монитор наблюдаем метрик лог трасс алерт оповещ".split(),
+    "VR-NFR-03": ("performance", "latency", "throughput", "rps", "load", "scalability", "scale", "cache", "sla", "производ", "задерж", "нагруз", "масштаб", "кэш"),
+    "VR-NFR-04": ("monitoring", "observability", "metrics", "logs", "logging", "tracing", "alert", "prometheus", "grafana", "монитор", "наблюдаем", "метрик", "лог", "трасс", "алерт", "оповещ"),
     "VR-NFR-05": ["backup", "restore", "recovery", "rpo", "rto", "disaster recovery", "archive", "резервн", "бэкап", "восстанов", "аварийн"],
 }
 
