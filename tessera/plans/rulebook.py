@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import relational as O
 
-from .base import query, table
+from . import solutions
+from .base import SQL, query, table
 
 #: Patterns of the non-functional rules: fixed values. "ha" is a bare substring.
 NFR = {
@@ -42,7 +43,6 @@ def _basis(have: str, expected: str, contradiction: str, linked: str) -> str:
 
 def rules(goal=("goal", "цель", "результат"), context=("context", "контекст", "as is"), api=("api", "rest", "grpc", "soap", "webhook", "интеграц"), prohibited=("deprecated", "forbidden"), data=("data", "данн")) -> list[tuple[str, str, str, str]]:
     """``(code, group, severity, expression)``; the vocabularies are parameters."""
-    linkage = "CASE WHEN {0} = 0 OR {1} = 0 THEN 'not_applicable' WHEN linked_{2} > 0 THEN 'passed' ELSE 'warning' END"
     return [
         ("VR-TEC-01", "technical", "critical", "CASE WHEN state IS NULL THEN 'not_determined' WHEN state = 'published' THEN 'passed' ELSE 'failed' END"),
         ("VR-TEC-02", "technical", "critical", _present("version IS NOT NULL")),
@@ -63,10 +63,10 @@ def rules(goal=("goal", "цель", "результат"), context=("context", "
         ("VR-NRM-06", "normative", "major", _present("aligned >= sections", "warning")),
         ("VR-CNS-01", "consistency", "major", _present("duplicates = 0 AND dangling = 0 AND contradictions = 0")),
         ("VR-CNS-02", "consistency", "major", "CASE WHEN sections = 0 THEN 'failed' WHEN with_refs = sections THEN 'passed' WHEN with_refs > 0 THEN 'warning' ELSE 'failed' END"),
-        ("VR-CNS-03", "consistency", "major", linkage.format("business", "components", "business")),
-        ("VR-CNS-04", "consistency", "major", linkage.format("components", "technology", "technology")),
+        ("VR-CNS-03", "consistency", "major", "CASE WHEN business = 0 THEN 'not_applicable' WHEN components > 0 AND linked_business > 0 THEN 'passed' ELSE 'warning' END"),
+        ("VR-CNS-04", "consistency", "major", "CASE WHEN components = 0 THEN 'not_applicable' WHEN technology = 0 THEN 'failed' WHEN linked_technology > 0 THEN 'passed' ELSE 'warning' END"),
         ("VR-CNS-05", "consistency", "major", _present(f"{any_of('body', data)} AND components >= 2", "warning")),
-        ("VR-CNS-06", "consistency", "major", "CASE WHEN task = '' THEN 'not_determined' WHEN traced >= 0.5 THEN 'passed' WHEN traced > 0 THEN 'warning' ELSE 'failed' END"),
+        ("VR-CNS-06", "consistency", "major", _present("traced > 0", "warning")),
         *((code, "nfr", "major", _present(any_of("body", words), "warning")) for code, words in NFR.items()),
     ]
 
@@ -94,42 +94,54 @@ WORDS = dict(goal=("the ", "der "), context=("and ", "und "), api=("only",), pro
 
 
 def facts(spark, sf: str) -> DataFrame:
-    """Conversations as solutions: turns are sections, a long answer a component, a question a task."""
+    """Conversations as solutions, as in ``solutions``; what that doesn't count goes by the id."""
     c = table(spark, sf, "conversations")
-    long, answer, ask = F.char_length("text") > 150, F.col("role") == "assistant", F.col("role") == "user"
+    long, lines = F.char_length("text") > 150, F.contains("text", F.lit("\n"))
     n = lambda x: F.count_if(x)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.lower("text").alias("t")))), lambda x: x["t"]), " ")
     g = c.groupBy(F.col("conv_id").alias("doc_id")).agg(
         body.alias("body"),
         F.count(F.lit(1)).alias("sections"),
-        n(answer & long).alias("components"),
-        n(ask & long).alias("integrations"),
-        n(ask & long & (F.col("turn") % 2 == 1)).alias("incomplete"),
+        n(F.col("role") == "assistant").alias("components"),
+        n(lines).alias("integrations"),
+        n(lines & ~long).alias("incomplete"),
         n(F.col("role") == "system").alias("basis"),
         n(long).alias("with_refs"),
-        (F.count(F.lit(1)) - F.count_distinct("text")).alias("duplicates"),
         F.max("turn").alias("last"),
     )
+    linked = lambda name: (F.col("relation") | F.col("edge") | F.col("overlap")).cast("int").alias(name)
+    key = F.col("solution_id").alias("doc_id")
+    # each has at most one row for a solution
+    counted = [
+        solutions.layer_links(spark, sf).select(key, F.col("left_n").alias("business"), linked("linked_business")),
+        solutions.technology_links(spark, sf).select(key, F.col("right_n").alias("technology"), linked("linked_technology")),
+        solutions.solution_consistency(spark, sf).select(key, "duplicates", "dangling", "contradictions"),
+        solutions.section_order(spark, sf).select(key, F.size("missing").alias("missing_sections"), (~F.col("in_order")).cast("int").alias("misplaced_sections")),
+        solutions.task_trace(spark, sf).select(key, (F.col("names") + F.col("texts")).alias("traced")),
+    ]
+    for part in counted:
+        g = g.join(part, "doc_id", "left")
     i = F.col("doc_id")
     return g.select(
-        "doc_id", "body", "sections", "components", "integrations", "incomplete", "basis", "with_refs", "duplicates",
+        "doc_id", "body", "sections", "components", "integrations", "incomplete", "basis", "with_refs", "duplicates", "dangling", "contradictions", "missing_sections", "misplaced_sections", "business", "linked_business", "technology", "linked_technology",
+        F.coalesce("traced", F.lit(0)).alias("traced"),
         F.when(i % 5 == 0, F.lit(None)).when(i % 5 == 1, "draft").otherwise("published").alias("state"), F.when(i % 7 != 0, i).alias("version"),
         (i % 3).alias("missing_packages"), (i % 4).alias("materials"), (i % 2).alias("selected"), F.when(i % 6 == 0, "").otherwise("task").alias("task"),
         (i % 3).alias("assumptions"), (i % 2).alias("constraints"), F.col("components").alias("disclosure"), F.greatest(F.lit(0), F.col("last") - 1).alias("risks"), (i % 3).alias("next_steps"),
-        F.when(F.col("sections") < 3, 1).otherwise(0).alias("missing_sections"), (i % 2).alias("misplaced_sections"), F.when(i % 9 == 0, 1).otherwise(0).alias("contradictions"), F.col("components").alias("aligned"),
-        F.when(i % 8 == 0, 1).otherwise(0).alias("disallowed"), F.when(i % 10 == 0, 1).otherwise(0).alias("dangling"), (i % 2).alias("business"), F.col("integrations").alias("linked_business"), (i % 3).alias("technology"),
-        F.col("incomplete").alias("linked_technology"), (F.col("components") / F.greatest("sections", F.lit(1))).alias("traced"),
+        F.col("components").alias("aligned"), F.when(i % 8 == 0, 1).otherwise(0).alias("disallowed"),
     )
 
 
-FACTS_SQL = """g AS (SELECT conv_id AS doc_id, string_agg(lower(text), ' ' ORDER BY turn, lower(text)) AS body, count(*) AS sections, count(*) FILTER (role = 'assistant' AND length(text) > 150) AS components,
-  count(*) FILTER (role = 'user' AND length(text) > 150) AS integrations, count(*) FILTER (role = 'user' AND length(text) > 150 AND turn % 2 = 1) AS incomplete, count(*) FILTER (role = 'system') AS basis,
-  count(*) FILTER (length(text) > 150) AS with_refs, count(*) - count(DISTINCT text) AS duplicates, max(turn) AS last FROM conversations GROUP BY ALL),
-f AS (SELECT doc_id, body, sections, components, integrations, incomplete, basis, with_refs, duplicates, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'draft' ELSE 'published' END AS state,
+FACTS_SQL = f"""g AS (SELECT conv_id AS doc_id, string_agg(lower(text), ' ' ORDER BY turn, lower(text)) AS body, count(*) AS sections, count(*) FILTER (role = 'assistant') AS components,
+  count(*) FILTER (contains(text, chr(10))) AS integrations, count(*) FILTER (contains(text, chr(10)) AND length(text) <= 150) AS incomplete, count(*) FILTER (role = 'system') AS basis,
+  count(*) FILTER (length(text) > 150) AS with_refs, max(turn) AS last FROM conversations GROUP BY ALL),
+l1 AS ({SQL["layer_links"]}), l2 AS ({SQL["technology_links"]}), k AS ({SQL["solution_consistency"]}), o AS ({SQL["section_order"]}), t AS ({SQL["task_trace"]}),
+f AS (SELECT g.doc_id, body, sections, components, integrations, incomplete, basis, with_refs, duplicates, dangling, contradictions, len(missing) AS missing_sections, CASE WHEN in_order THEN 0 ELSE 1 END AS misplaced_sections,
+  l1.left_n AS business, CAST(l1.relation OR l1.edge OR l1.overlap AS INT) AS linked_business, l2.right_n AS technology, CAST(l2.relation OR l2.edge OR l2.overlap AS INT) AS linked_technology, coalesce(names + texts, 0) AS traced,
+  CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'draft' ELSE 'published' END AS state,
   CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS version, doc_id % 3 AS missing_packages, doc_id % 4 AS materials, doc_id % 2 AS selected, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'task' END AS task,
-  doc_id % 3 AS assumptions, doc_id % 2 AS constraints, components AS disclosure, greatest(0, last - 1) AS risks, doc_id % 3 AS next_steps, CASE WHEN sections < 3 THEN 1 ELSE 0 END AS missing_sections,
-  doc_id % 2 AS misplaced_sections, CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS contradictions, components AS aligned, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS disallowed,
-  CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS dangling, doc_id % 2 AS business, integrations AS linked_business, doc_id % 3 AS technology, incomplete AS linked_technology, components / greatest(sections, 1) AS traced FROM g)"""
+  doc_id % 3 AS assumptions, doc_id % 2 AS constraints, components AS disclosure, greatest(0, last - 1) AS risks, doc_id % 3 AS next_steps, components AS aligned, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS disallowed
+  FROM g LEFT JOIN l1 ON l1.solution_id = doc_id LEFT JOIN l2 ON l2.solution_id = doc_id LEFT JOIN k ON k.solution_id = doc_id LEFT JOIN o ON o.solution_id = doc_id LEFT JOIN t ON t.solution_id = doc_id)"""
 _RULES_SQL = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS rule, '{g}' AS rule_group, '{s}' AS severity, {e} AS status FROM f" for c, g, s, e in rules(**WORDS))
 
 
