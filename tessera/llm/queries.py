@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontamination, embeddings, exact, html, packing, prefixes, quality, simhash, substrings, toxicity, urls
+from . import bpe, decontamination, embeddings, exact, html, packing, prefixes, quality, simhash, spellings, substrings, toxicity, urls
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,10 @@ def op10_urls(spark, sf_dir):
     return urls.digests(table(spark, sf_dir, "pages"))
 
 
+def op11_spellings(spark, sf_dir):
+    return spellings.digests(table(spark, sf_dir, "documents"))
+
+
 def op12_prefixes(spark, sf_dir):
     return prefixes.digests(table(spark, sf_dir, "conversations"))
 
@@ -59,9 +63,9 @@ def op13_decontamination(spark, sf_dir):
 
 
 def queries():
-    found = (op1_packing, op2_quality, op3_simhash, op4_substrings, op5_exact, op6_html, op7_bpe, op8_embeddings, op9_toxicity, op10_urls, op12_prefixes, op13_decontamination)
+    found = (op1_packing, op2_quality, op3_simhash, op4_substrings, op5_exact, op6_html, op7_bpe, op8_embeddings, op9_toxicity, op10_urls, op11_spellings, op12_prefixes, op13_decontamination)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql():
-    return {"op4_substrings": substrings.ORACLE_SQL, "op5_exact": exact.ORACLE_SQL, "op8_embeddings": embeddings.ORACLE_SQL, "op12_prefixes": prefixes.ORACLE_SQL, "op13_decontamination": decontamination.ORACLE_SQL}
+    return {"op4_substrings": substrings.ORACLE_SQL, "op5_exact": exact.ORACLE_SQL, "op8_embeddings": embeddings.ORACLE_SQL, "op11_spellings": spellings.ORACLE_SQL, "op12_prefixes": prefixes.ORACLE_SQL, "op13_decontamination": decontamination.ORACLE_SQL}
