@@ -43,18 +43,6 @@ def section_offsets(spark, sf):
     return lines.select("doc_id", "line", F.char_length("content").cast("bigint").alias("chars"), F.coalesce(before, F.lit(0)).cast("bigint").alias("start"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM documents),
-h AS (SELECT *, CAST(sum(CASE WHEN length(content) <= 40 AND content <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS section FROM l)
-SELECT doc_id, section, min(line) AS first_line, max(line) AS last_line, string_agg(content, chr(10) ORDER BY line) AS body FROM h GROUP BY ALL""")
-def line_sections(spark, sf):
-    """Lines gathered under their headings (here: lines of up to 40 characters)."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content")).withColumn("line", (F.col("line") + 1).cast("bigint"))
-    heading = (F.char_length("content") <= 40) & (F.col("content") != "")
-    section = F.sum(heading.cast("bigint")).over(Window.partitionBy("doc_id").orderBy("line"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n")
-    return lines.withColumn("section", section).groupBy("doc_id", "section").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), body.alias("body"))
-
-
 _SIGNATURE = r"sha1(substr(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), '\b\d{1,4}\b', ' ', 'g'), '\s+', ' ', 'g')), 1, 4000))"
 
 
