@@ -1,7 +1,9 @@
 """Document quality by hierarchical empirical Bayes.
 
-A document's own evidence is the sum of log-likelihood ratios of its features, in bins,
-estimated by counting labelled documents: shares of symbol words, repeated neighbours and
+A document's own evidence is the sum of log-likelihood ratios of its features, in bins.
+Labelled documents are counted by bin; a bin is judged with its neighbours at both sides, as far
+as it takes to hold ``ENOUGH`` of them, so that a bin that few labels or none fell into says what those
+around it say. The features are shares of symbol words, repeated neighbours and
 letters, length, and the mean log-odds of its different words. A word's log-odds are those of
 the word, of its shape and of its last three characters, hashed to ``SLOTS`` slots whose counts
 in good and poor documents are grouped sums over one half of the labels (a bounded sample of
@@ -31,7 +33,6 @@ import operator
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 from math import fsum, log
 from zlib import crc32
 
@@ -46,12 +47,14 @@ from .common import materialized, only
 FEATURES = ("symbols", "repeats", "letters", "length", "words")
 #: Words of no worth that every document is taken to have.
 SHRINK = 10
-#: Documents with fewer different words say nothing by their words.
-FEW = 16
 #: Slots of hashed words, shapes and word ends.
 SLOTS = 1 << 18
 #: Bins of a share.
 BINS = 20
+#: The first and last bin of each feature.
+RANGES = {"symbols": (0, BINS), "repeats": (0, BINS), "letters": (0, BINS), "length": (0, 32), "words": (-BINS, BINS)}
+#: Labelled documents that a bin and its neighbours hold at least, if there are so many.
+ENOUGH = 5
 _SYMBOLS = re.compile(r"[#$%&*|!~^<>=+\\]{2,}|\|")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -81,7 +84,7 @@ def features(text: str | None, table: array | None = None) -> tuple[int, int, in
     letters = sum(map(len, _LETTERS.findall(rest))) / len(rest) if rest else 0.0
     worth = None
     different = set(words) if table is not None else ()
-    if len(different) >= FEW:
+    if different:
         # the mean of few words is drawn to zero; fsum: in any order
         worth = fsum(table[a] + table[b] + table[c] for a, b, c in map(slots, different)) / 3 / (len(different) + SHRINK)
     return (int(symbols * BINS), int(repeats * BINS), int(letters * BINS), n.bit_length(), None if worth is None else max(-BINS, min(BINS, round(worth * BINS / 2))))
@@ -145,17 +148,24 @@ def _evidence(labelled: DataFrame, smoothing: float) -> tuple[Column, float]:
     bins = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in FEATURES])).alias("x")
     used = labelled.where("good is not null").select("id", "good", bins).where((F.col("x.f") != "words") | F.col("x.bin").isNotNull() & ~_first_half())
     counted = used.groupBy("x.f", "x.bin").agg(F.sum("good").alias("g"), F.count(F.lit(1)).alias("n")).collect()
-    counts = {(r["f"], r["bin"]): (r["g"], r["n"] - r["g"]) for r in counted}
-    of = lambda f, c: sum(v[c] for (x, _), v in counts.items() if x == f)
-    prior = (of(FEATURES[0], 0) + 1) / (of(FEATURES[0], 0) + of(FEATURES[0], 1) + 2)
+    counts = {f: np.zeros((2, hi - lo + 1)) for f, (lo, hi) in RANGES.items()}
+    for r in counted:
+        counts[r["f"]][:, min(r["bin"], RANGES[r["f"]][1]) - RANGES[r["f"]][0]] += r["g"], r["n"] - r["g"]
+    good, bad = counts[FEATURES[0]].sum(axis=1)
+    prior = (good + 1) / (good + bad + 2)
     total = F.lit(log(prior / (1 - prior)))
-    for f in FEATURES:
-        good, bad = of(f, 0), of(f, 1)
-        size = 1 + max([b for g, b in counts if g == f], default=0) - min([0, *(b for g, b in counts if g == f)])
-        table = {b: log((g + smoothing) / (good + smoothing * size)) - log((w + smoothing) / (bad + smoothing * size)) for (x, b), (g, w) in counts.items() if x == f}
-        if table:
-            ratios = F.create_map(*chain.from_iterable((F.lit(b), F.lit(v)) for b, v in sorted(table.items())))
-            total = total + F.coalesce(F.try_element_at(ratios, F.col(f)), F.lit(0.0))
+    for f, (lo, hi) in RANGES.items():
+        total_of = counts[f].sum(axis=1)
+        if not total_of.any():
+            continue
+        ratios = []
+        for b in range(hi - lo + 1):
+            reach = next((r for r in range(hi - lo + 1) if counts[f][:, max(0, b - r) : b + r + 1].sum() >= ENOUGH), hi - lo)
+            share = (counts[f][:, max(0, b - reach) : b + reach + 1].sum(axis=1) + smoothing) / (total_of + 2 * smoothing)
+            ratios.append(log(share[0] / share[1]))
+        # a feature without a value says nothing
+        at = F.least(F.col(f), F.lit(hi)) - lo
+        total = total + F.coalesce(F.get(F.lit(ratios), at), F.lit(0.0))
     return total, prior
 
 

@@ -41,15 +41,18 @@ def plain_quality(marked, known, smoothing=0.5):
     logits = np.full(len(marked), log(prior / (1 - prior)))
     for f in quality.FEATURES:
         seen = [(getattr(r, f), known[r.id]) for r in marked if r.id in known and getattr(r, f) is not None and (f != "words" or r.second)]
-        n = {g: sum(y == g for _, y in seen) for g in (0, 1)}
         if not seen:
             continue
-        values = [v for v, _ in seen]
-        size = 1 + max(0, *values) - min(0, *values)
+        lo, hi = quality.RANGES[f]
+        total = {g: sum(y == g for _, y in seen) for g in (0, 1)}
         for k, r in enumerate(marked):
-            c = {g: sum(v == getattr(r, f) and y == g for v, y in seen) for g in (0, 1)}
-            if c[0] + c[1]:
-                logits[k] += log((c[1] + smoothing) / (n[1] + smoothing * size)) - log((c[0] + smoothing) / (n[0] + smoothing * size))
+            v = getattr(r, f)
+            if v is not None:
+                reach = 0
+                while reach < hi - lo and sum(abs(u - v) <= reach for u, _ in seen) < quality.ENOUGH:
+                    reach += 1
+                c = {g: sum(abs(u - v) <= reach and y == g for u, y in seen) for g in (0, 1)}
+                logits[k] += log((c[1] + smoothing) / (total[1] + 2 * smoothing)) - log((c[0] + smoothing) / (total[0] + 2 * smoothing))
     own = 1 / (1 + exp(-np.clip(logits, -30, 30)))
     y = np.array([known.get(r.id, p) for r, p in zip(marked, own, strict=True)])
     share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
