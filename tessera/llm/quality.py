@@ -164,7 +164,7 @@ def _evidence(labelled: DataFrame, smoothing: float) -> tuple[Column, float]:
             share = (counts[f][:, max(0, b - reach) : b + reach + 1].sum(axis=1) + smoothing) / (total_of + 2 * smoothing)
             ratios.append(log(share[0] / share[1]))
         # a feature without a value says nothing
-        at = F.least(F.col(f), F.lit(hi)) - lo
+        at = F.when(F.col(f).isNotNull(), F.least(F.col(f), F.lit(hi)) - lo)
         total = total + F.coalesce(F.get(F.lit(ratios), at), F.lit(0.0))
     return total, prior
 
