@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import facts, journal, knowledge, pages, readers, relational, rulebook, search, solutions, texts, versions
+from tessera.plans import facts, journal, knowledge, pages, readers, readiness, relational, rulebook, search, solutions, texts, versions
 from tessera.plans.base import QUERIES, SQL
 
-MODULES = (facts, journal, knowledge, pages, readers, relational, rulebook, search, solutions, texts, versions)
+MODULES = (facts, journal, knowledge, pages, readers, readiness, relational, rulebook, search, solutions, texts, versions)
 
 
 def queries():
