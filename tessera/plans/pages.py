@@ -56,6 +56,48 @@ def bounded_crawl(spark, sf):
     return L.crawl(e.where("source < 3").select(F.col("source").alias("url")), e)
 
 
+_REFERENCES = ("p.html", "../up.html", "../../../../top.html", "./here/", ".", "..", "?q=1", "#frag", "//other.example.org/a/../b", "/root/./a//b/../c?x=/../y", "mailto:x@example.org", "a//b/./c/..", "")
+_QUOTE = "[chr(34), chr(39), ''][1 + page_id % 3]"
+
+
+@query(rf"""WITH h AS (SELECT page_id, url AS page, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') || '<a class="x" title="href=no" HREF=' || {_QUOTE} || [{", ".join(f"'{r}'" for r in _REFERENCES)}][1 + page_id % 13] || {_QUOTE} || '>one <b>two</b></a>' AS html FROM pages),
+t AS (SELECT page_id, page, unnest(range(len(regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a>')))) AS position, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a>')) AS a FROM h),
+r AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_extract(a, '(?is)^<a\s[^>]*>(.*)</a>$', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title, replace(trim(regexp_extract(a, '(?i)\shref\s*=\s*("[^"]*"|\x27[^\x27]*\x27|[^\s">]+)', 1), chr(34) || chr(39)), '&amp;', '&') AS href FROM t WHERE regexp_matches(a, '(?i)^<a[^>]*\shref\s*=\s*[^\s>]')),
+c AS (SELECT *, regexp_extract(page, '^([a-zA-Z][a-zA-Z0-9+.-]*:)') AS scheme, regexp_extract(page, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)') AS origin, regexp_extract(page, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS folder, regexp_extract(href, '^[^?#]*') AS path, substr(href, length(regexp_extract(href, '^[^?#]*')) + 1) AS rest FROM r),
+s AS (SELECT *, CASE WHEN starts_with(path, '/') THEN string_split(substr(path, 2), '/') ELSE list_filter(string_split(regexp_replace(folder, '[^/]*$', ''), '/'), lambda x: x <> '') || list_filter(string_split(path, '/')[:-2], lambda x: x <> '') || string_split(path, '/')[-1:] END AS segs FROM c),
+f AS (SELECT *, coalesce(nullif(list_reduce([''] || segs, lambda acc, x: CASE x WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END) || CASE WHEN segs[-1] IN ('.', '..') THEN '/' ELSE '' END, ''), '/') AS folded FROM s),
+u AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN scheme || href WHEN path <> '' THEN origin || folded || rest WHEN href = '' THEN page WHEN starts_with(href, '?') THEN origin || folder || href ELSE regexp_replace(page, '#.*$', '') || href END AS full_ FROM f)
+SELECT page_id, position, href, regexp_replace(regexp_replace(full_, '#.*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?]+)(\?|$)', '\1/\2') AS url, title FROM u""")
+def resolved_links(spark, sf):
+    """A3: all anchors of pages, and one more of every form of reference and quotes, resolved against the page."""
+    n = F.col("page_id")
+    quote = F.element_at(F.array(F.lit('"'), F.lit("'"), F.lit("")), (1 + n % 3).cast("int"))
+    ref = F.element_at(F.array(*map(F.lit, _REFERENCES)), (1 + n % len(_REFERENCES)).cast("int"))
+    more = F.concat("html", F.lit('<a class="x" title="href=no" HREF='), quote, ref, quote, F.lit(">one <b>two</b></a>"))
+    return L.anchors(table(spark, sf, "pages").withColumn("html", more)).select("page_id", "position", "href", "url", "title")
+
+
+_LEVEL = """q{d} AS (SELECT t AS url, min((visit, pos, t)) AS o FROM v{b} JOIN e ON e.s = v{b}.url WHERE is_page AND t NOT IN (SELECT url FROM seen{b}) GROUP BY t),
+r{d} AS (SELECT url, row_number() OVER (ORDER BY o) - 1 + (SELECT count(*) FROM seen{b}) AS visit, coalesce(docs, 0) AS docs, (SELECT coalesce(sum(docs), 0) FROM all{b}) + coalesce(sum(docs) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM q{d} LEFT JOIN c ON c.s = q{d}.url),
+v{d} AS (SELECT * FROM r{d} WHERE visit < 200 AND before_ < 500), all{d} AS (SELECT url, {d} AS depth, visit, docs, before_ FROM v{d} UNION ALL SELECT * FROM all{b}), seen{d} AS (SELECT url FROM all{d})"""
+
+
+@query(f"""WITH e AS (SELECT l_orderkey AS s, l_linenumber AS pos, l_partkey AS t, l_linenumber <> 2 AS is_page, l_linenumber % 3 = 0 AS is_doc FROM lineitem),
+c AS (SELECT s, count(*) AS docs FROM e WHERE is_doc GROUP BY s),
+r0 AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS visit, coalesce(docs, 0) AS docs, coalesce(sum(docs) OVER (ORDER BY url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM (SELECT DISTINCT s AS url FROM e WHERE s < 60) LEFT JOIN c ON c.s = url),
+v0 AS (SELECT * FROM r0 WHERE visit < 200 AND before_ < 500), all0 AS (SELECT url, 0 AS depth, visit, docs, before_ FROM v0), seen0 AS (SELECT url FROM all0), {_LEVEL.format(d=1, b=0)}, {_LEVEL.format(d=2, b=1)},
+d AS (SELECT visit, pos, t, before_ + row_number() OVER (PARTITION BY visit ORDER BY pos, t) - 1 AS nth FROM all2 JOIN e ON e.s = all2.url WHERE is_doc)
+SELECT 'page' AS kind, url, depth::BIGINT AS depth, visit::BIGINT AS visit, NULL::BIGINT AS position FROM all2 UNION ALL SELECT 'document', t, NULL, visit, pos FROM d WHERE nth < 500""")
+def budgeted_crawl(spark, sf):
+    """A4: what a queue visits of the line items' graph with 200 pages and 500 documents."""
+    link = F.col("l_linenumber")
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), link.cast("bigint").alias("position"), F.col("l_partkey").alias("target"), (link != 2).alias("is_page"), (link % 3 == 0).alias("is_document"))
+    seeds = e.where("source < 60").select(F.col("source").alias("url")).distinct().withColumn("position", F.col("url"))
+    pages, documents = L.budgeted_crawl(seeds, e)
+    one = pages.select(F.lit("page").alias("kind"), "url", F.col("depth").cast("bigint").alias("depth"), "visit", F.lit(None).cast("bigint").alias("position"))
+    return one.unionByName(documents.select(F.lit("document").alias("kind"), "url", F.lit(None).cast("bigint").alias("depth"), "visit", "position"))
+
+
 @query(f"SELECT {_HOST} AS host, count(*) AS pages, count(DISTINCT {_PATH}) AS paths FROM pages GROUP BY ALL")
 def host_counts(spark, sf):
     """Pages and paths of each host."""

@@ -55,13 +55,22 @@ def scan(spark: SparkSession, root: str, depth: int = 2, limit: int | None = 500
     return found if limit is None else found.limit(limit)
 
 
-def url_list(lines: DataFrame, base: str, column: str = "value") -> DataFrame:
-    """Absolute urls of a list: blank lines and ``#`` lines are skipped, relative ones joined to ``base``."""
+def supported(url: Column) -> Column:
+    """Whether a url's path ends in the suffix of a supported document."""
+    return F.coalesce(suffix(F.regexp_extract(url, r"^([^?#]*)", 1)).isin(*SUFFIXES), F.lit(False))
+
+
+def url_list(lines: DataFrame, base: str, column: str = "value", only_supported: bool = False) -> DataFrame:
+    """The urls that the lines of a list name: blank lines and ``#`` lines are skipped, references resolved against ``base``.
+
+    Unsafe http urls are left out, other schemes too; ``only_supported`` keeps urls with the suffix of a document.
+    """
+    from tessera.operators.links import resolved
+
     line = F.trim(F.col(column))
-    origin = re.match(r"^[a-z]+://[^/]+", base)[0]
-    folder = base if base.endswith("/") else base.rsplit("/", 1)[0] + "/"
-    url = F.when(line.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), line).when(F.startswith(line, F.lit("/")), F.concat(F.lit(origin), line)).otherwise(F.concat(F.lit(folder), line))
-    return lines.where((line != "") & ~F.startswith(line, F.lit("#"))).select(url.alias("url")).where(safe_url(F.col("url")))
+    url = resolved(F.lit(base), line)
+    kept = lines.where((line != "") & ~F.startswith(line, F.lit("#"))).select(url.alias("url")).where(safe_url(F.col("url")))
+    return kept.where(supported(F.col("url"))) if only_supported else kept
 
 
 #: Hosts and literal networks that no reader may open: fixed values.
