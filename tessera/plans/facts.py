@@ -20,7 +20,7 @@ CATALOGUE = {
     "technology": (("apache", "version"), ()),
     "architecture": (("entre", "from"), ("principle",)),
 }
-_SENTENCES = r"list_transform(list_filter(list_transform(string_split(replace(regexp_replace(text, '([.!?;])[ \t\r\f\v]+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 20)[1:500], lambda s: substr(s, 1, 1400))"
+_SENTENCES = r"list_transform(list_filter(list_transform(flatten(list_transform(regexp_split_to_array(text, '[\r\n]+'), lambda b: string_split(regexp_replace(regexp_replace(trim(trim(regexp_replace(b, '\s+', ' ', 'g')), ' -•'), ' • ', chr(1), 'g'), '([.!?;]) ', '\1' || chr(1), 'g'), chr(1)))), lambda s: trim(s, ' -•')), lambda s: length(s) >= 20)[1:500], lambda s: CASE WHEN length(s) <= 1400 THEN s ELSE rtrim(substr(s, 1, 1399)) || '…' END)"
 _NORMAL = r"' ' || trim(regexp_replace(lower(s), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' '"
 _RELATION = r"(?i)([A-ZА-Я][\p{L}\p{N}_ .\-/]{1,80})\s*(?:->|→|to)\s*([A-ZА-Я][\p{L}\p{N}_ .\-/]{1,80})"
 

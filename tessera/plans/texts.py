@@ -19,8 +19,8 @@ def budget_estimate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.word_count(t).cast("bigint").alias("words"), X.budget_tokens(t).cast("bigint").alias("budget"), F.char_length(t).cast("bigint").alias("chars"), F.size(F.split(t, "\n")).cast("bigint").alias("lines"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(replace(regexp_replace(text, '([.!?;])[ \t\r\f\v]+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 20) AS s FROM documents)
-SELECT doc_id, len(s) AS sentences, CASE WHEN len(s) > 0 THEN substr(array_to_string(list_transform(s[1:2], lambda x: substr(x, 1, 1400)), ' '), 1, 800) END AS summary FROM s""")
+@query(r"""WITH s AS (SELECT doc_id, list_transform(list_filter(list_transform(flatten(list_transform(regexp_split_to_array(text, '[\r\n]+'), lambda b: string_split(regexp_replace(regexp_replace(trim(trim(regexp_replace(b, '\s+', ' ', 'g')), ' -•'), ' • ', chr(1), 'g'), '([.!?;]) ', '\1' || chr(1), 'g'), chr(1)))), lambda s: trim(s, ' -•')), lambda s: length(s) >= 20), lambda s: CASE WHEN length(s) <= 1400 THEN s ELSE rtrim(substr(s, 1, 1399)) || '…' END) AS s FROM documents)
+SELECT doc_id, len(s) AS sentences, CASE WHEN len(s) > 0 THEN substr(array_to_string(s[1:2], ' '), 1, 800) END AS summary FROM s""")
 def sentence_summary(spark, sf):
     """Sentences and the summary of the first two."""
     found = X.sentences(F.col("text"))

@@ -111,3 +111,37 @@ def test_page_filter(spark):
     got = {r.doc_id: r.reason for r in rows.collect()}
     assert [got[k] for k in range(len(texts))] == ["empty_page", "empty_page", "low_information_page", None, "duplicate_page", "table_of_contents", "legal_disclaimer", "legal_disclaimer", None]
     assert PF.classified(spark.createDataFrame([], "doc_id int, text string"), ("a",), ("b",)).count() == 0
+
+
+def test_sentences_of_bullets_and_long_ones(one):
+    from tessera.functions import text as X
+
+    text = "- First bullet of the list here.\r\n  • second point is here • third point is also here;  fourth one follows here -\nshort.\n\n" + "x" * 1500
+    assert one(X.sentences(F.col("t")), t=text) == ["First bullet of the list here.", "second point is here", "third point is also here;", "fourth one follows here", "x" * 1399 + "…"]
+
+
+def test_marker_tree_equals_the_longest_marker_at_each_place(one):
+    import random
+
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("ab-. ") for _ in range(n)).strip()
+    for _ in range(12):
+        whole, opened = [word(r.randint(1, 5)) for _ in range(4)], [word(r.randint(1, 3)) for _ in range(2)]
+        text, found, at = " ".join(word(12).split()), [], 0
+        is_word = lambda c: c.isalnum() or c == "_"
+        while at < len(text):
+            best = ""
+            for m in {m for m in (*whole, *opened) if m}:
+                end = at + len(m)
+                if not text.startswith(m, at) or at and is_word(text[at - 1]):
+                    continue
+                if m in opened:
+                    while end < len(text) and (is_word(text[end]) or text[end] == "-"):
+                        end += 1
+                elif end < len(text) and is_word(text[end]):
+                    continue
+                best = max(best, (m, text[at:end]), key=lambda x: len(x[0])) if best else (m, text[at:end])
+            if best:
+                found.append(best[1])
+            at += len(best[1]) if best else 1
+        assert one(E.markers(F.col("t"), {"c": (whole, opened)}, "c"), t=text) == list(dict.fromkeys(found)), (whole, opened, text)
