@@ -1,15 +1,17 @@
 """Rules on a described solution that need its components, integrations, sections and task.
 
 Tables, each with the solution's key:
-``components`` (component_id, name, description, layer, external), ``integrations``
+``components`` (component_id, name, description, layer, external, and technology_stack if known), ``integrations``
 (from_id, to_id, protocol), ``sections`` (section, text, sort_order), ``statements``
 (text) and ``tasks`` (text). Components and fragments meet on the key and on the
 first letters of a name, tokens on the token: no solution's rows are paired with all
 its others, and only flags are aggregated, never texts.
 
 Defined results: null and empty names, texts and ids match nothing; repeated rows count
-as often as they stand there for duplicate names and once elsewhere; a solution
-without components or sections has no row; empty tables give empty tables.
+as often as they stand there for duplicate names and once elsewhere; where no component of a
+solution has an id, its integrations can't dangle; a solution without components has no
+row of layers and is consistent unless claims contradict; one without sections has no order;
+empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -65,7 +67,8 @@ def _edges(layers: DataFrame, integrations: DataFrame, key: str) -> DataFrame:
 
 
 def _overlaps(layers: DataFrame, stopwords: Sequence[str], key: str) -> DataFrame:
-    tokens = layers.select(key, "layer", F.explode(domain_tokens(F.concat_ws(" ", "name", "description"), stopwords)).alias("token"))
+    said = [c for c in ("name", "description", "technology_stack") if c in layers.columns]
+    tokens = layers.select(key, "layer", F.explode(domain_tokens(F.concat_ws(" ", *said), stopwords)).alias("token"))
     return tokens.groupBy(key, "token").agg(F.min("layer").alias("a"), F.max("layer").alias("b")).where("a <> b").select(key, F.lit("overlap").alias("kind"))
 
 
@@ -85,7 +88,7 @@ def layer_links(components: DataFrame, integrations: DataFrame, sections: DataFr
     """``(key, left_n, right_n, relation, edge, overlap, status)``: how two layers of each solution are connected.
 
     relation: a fragment of either layer's section has a pattern and names of both; edge:
-    an integration in either direction; overlap: a shared token of names and descriptions.
+    an integration in either direction; overlap: a shared token of names, descriptions and technology.
     ``missing`` is the status where the right layer has no components.
     """
     layers = components.where(F.col("layer").isin(left, right))
@@ -98,9 +101,9 @@ def layer_links(components: DataFrame, integrations: DataFrame, sections: DataFr
 
 
 def consistency(components: DataFrame, integrations: DataFrame, sections: DataFrame, statements: DataFrame, no_integrations=NO_INTEGRATIONS, no_api=NO_API, only_internal=ONLY_INTERNAL, only_batch=ONLY_BATCH, online=ONLINE, key: str = "solution_id") -> DataFrame:
-    """``(key, duplicates, dangling, contradictions, status)`` of each solution with components.
+    """``(key, duplicates, dangling, contradictions, status)`` of each solution of any of the tables.
 
-    dangling: integrations with an end that is no component. contradictions: kinds of
+    dangling: integrations with an end that is no component, of solutions whose components have ids. contradictions: kinds of
     claims in the statements, or in the sections of a solution without any, that the
     facts contradict.
     """
@@ -109,16 +112,19 @@ def consistency(components: DataFrame, integrations: DataFrame, sections: DataFr
     ids = components.where("component_id IS NOT NULL").select(key, "component_id").distinct()
     ends = [ids.select(key, F.col("component_id").alias(end), F.lit(True).alias(f"has_{end}")) for end in ("from_id", "to_id")]
     known = integrations.join(ends[0], [key, "from_id"], "left").join(ends[1], [key, "to_id"], "left")
-    joints = known.groupBy(key).agg(F.count(F.lit(1)).alias("joints"), F.count_if(F.col("has_from_id").isNull() | F.col("has_to_id").isNull()).alias("dangling"), F.bool_or(any_in(F.lower("protocol"), online)).alias("online"))
+    known = known.join(ids.select(key, F.lit(True).alias("ids")).distinct(), key, "left")
+    loose = F.col("ids").isNotNull() & (F.col("has_from_id").isNull() | F.col("has_to_id").isNull())
+    joints = known.groupBy(key).agg(F.count(F.lit(1)).alias("joints"), F.count_if(loose).alias("dangling"), F.bool_or(any_in(F.lower("protocol"), online)).alias("online"))
     claims = {"no_joints": no_integrations, "no_api": no_api, "internal": only_internal, "batch": only_batch}
     said = [F.bool_or(any_in(F.lower("text"), words)).alias(c) for c, words in claims.items()]
     stated = statements.groupBy(key).agg(*said)
     written = sections.groupBy(key).agg(F.bool_or(any_in(F.lower("text"), ["api"])).alias("api"), *[s.alias(f"text_{c}") for s, c in zip(said, claims, strict=True)])
-    rows = own.join(joints, key, "left").join(stated, key, "left").join(written, key, "left")
+    every = reduce(lambda a, b: a.union(b), [t.select(key) for t in (components, integrations, sections, statements)]).where(F.col(key).isNotNull()).distinct()
+    rows = every.join(own, key, "left").join(joints, key, "left").join(stated, key, "left").join(written, key, "left")
     claimed = {c: F.coalesce(c, f"text_{c}", F.lit(False)) for c in claims}
     have = F.coalesce("joints", F.lit(0)) > 0
-    against = [claimed["no_joints"] & have, claimed["no_api"] & F.coalesce("api", F.lit(False)), claimed["internal"] & (F.col("external") | have), claimed["batch"] & F.coalesce("online", F.lit(False))]
-    counted = rows.select(key, "duplicates", F.coalesce("dangling", F.lit(0)).alias("dangling"), reduce(lambda a, b: a + b, [x.cast("int") for x in against]).alias("contradictions"))
+    against = [claimed["no_joints"] & have, claimed["no_api"] & F.coalesce("api", F.lit(False)), claimed["internal"] & (F.coalesce("external", F.lit(False)) | have), claimed["batch"] & F.coalesce("online", F.lit(False))]
+    counted = rows.select(key, F.coalesce("duplicates", F.lit(0)).alias("duplicates"), F.coalesce("dangling", F.lit(0)).alias("dangling"), reduce(lambda a, b: a + b, [x.cast("int") for x in against]).alias("contradictions"))
     return counted.withColumn("status", F.when(F.expr("duplicates + dangling + contradictions = 0"), "passed").otherwise("failed"))
 
 

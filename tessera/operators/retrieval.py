@@ -235,8 +235,10 @@ def fused(fragments: DataFrame, queries: DataFrame, p: Policy = GENERATION, vect
     return rows.select("query_id", "doc_id", "rank", "fusion", vector.alias("vector"), zero("lexical"), zero("overlap"))
 
 
-def evaluate(predicted: DataFrame, targets: DataFrame) -> DataFrame:
-    """Metrics of each query: Recall@5/10, MRR@10, nDCG@10, HitRate@10 at 6 places.
+def evaluate(predicted: DataFrame, targets: DataFrame, top_k: int = 10) -> DataFrame:
+    """Metrics of each query: Recall@5/10, MRR@10, nDCG@10, HitRate@10, HitAfterRerank at 6 places.
+
+    ``top_k`` is how many of the reranked list are looked at; at most ten count.
 
     ``predicted`` holds query_id, doc_id, rank; ``targets`` query_id, doc_id, relevance
     over 0. The ideal order is that of the observed ten. Queries without a prediction
@@ -244,7 +246,7 @@ def evaluate(predicted: DataFrame, targets: DataFrame) -> DataFrame:
     """
     wanted = targets.where("relevance > 0").groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
     count = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("targets"))
-    hits = predicted.where("rank <= 10").join(wanted, ["query_id", "doc_id"])
+    hits = predicted.where(F.col("rank") <= min(10, top_k)).join(wanted, ["query_id", "doc_id"])
     gain = F.pow(F.lit(2.0), F.col("relevance")) - 1
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.asc("rank")))
     hits = hits.withColumn("best", best).groupBy("query_id").agg(
@@ -262,12 +264,12 @@ def evaluate(predicted: DataFrame, targets: DataFrame) -> DataFrame:
         zero(F.col("at10") / F.col("targets")).alias("recall_10"),
         zero(1.0 / F.col("first_rank")).alias("mrr_10"),
         zero(F.col("dcg") / F.col("ideal")).alias("ndcg_10"),
-        F.when(F.col("first_rank").isNotNull(), 1.0).otherwise(0.0).alias("hit_10"),
+        *[F.when(F.col("first_rank").isNotNull(), 1.0).otherwise(0.0).alias(n) for n in ("hit_10", "hit_after_rerank")],
         "first_rank",
     )
 
 
 def macro_average(cases: DataFrame) -> DataFrame:
     """One row of the cases' means; zeros for no case."""
-    names = ("recall_5", "recall_10", "mrr_10", "ndcg_10", "hit_10")
+    names = ("recall_5", "recall_10", "mrr_10", "ndcg_10", "hit_10", "hit_after_rerank")
     return cases.agg(F.count(F.lit(1)).alias("cases"), *[F.round(F.coalesce(F.avg(n), F.lit(0.0)), 6).alias(n) for n in names])

@@ -119,7 +119,7 @@ hit AS (SELECT lex.query_id, rank, relevance, row_number() OVER (PARTITION BY le
 agg AS (SELECT query_id, count(*) FILTER (rank <= 5) AS at5, count(*) AS at10, min(rank) AS first_rank,
   sum((2.0::DOUBLE ** relevance - 1) / log2(rank + 1)) AS dcg, sum((2.0::DOUBLE ** relevance - 1) / log2(best + 1)) AS ideal FROM hit GROUP BY ALL),
 cs AS (SELECT query_id, round(coalesce(at5 / targets, 0), 6) AS recall_5, round(coalesce(at10 / targets, 0), 6) AS recall_10, round(coalesce(1.0::DOUBLE / first_rank, 0), 6) AS mrr_10,
-  round(coalesce(dcg / ideal, 0), 6) AS ndcg_10, CASE WHEN first_rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS hit_10, first_rank FROM tc LEFT JOIN agg USING (query_id))
+  round(coalesce(dcg / ideal, 0), 6) AS ndcg_10, CASE WHEN first_rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS hit_10, CASE WHEN first_rank <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_after_rerank, first_rank FROM tc LEFT JOIN agg USING (query_id))
 """
 
 
@@ -136,7 +136,7 @@ def eval_cases(spark, sf):
     return _cases(spark, sf)
 
 
-@query(_BM25 + _TARGETS + "SELECT count(*) AS cases, round(coalesce(avg(recall_5), 0), 6) AS recall_5, round(coalesce(avg(recall_10), 0), 6) AS recall_10, round(coalesce(avg(mrr_10), 0), 6) AS mrr_10, round(coalesce(avg(ndcg_10), 0), 6) AS ndcg_10, round(coalesce(avg(hit_10), 0), 6) AS hit_10 FROM cs")
+@query(_BM25 + _TARGETS + "SELECT count(*) AS cases, round(coalesce(avg(recall_5), 0), 6) AS recall_5, round(coalesce(avg(recall_10), 0), 6) AS recall_10, round(coalesce(avg(mrr_10), 0), 6) AS mrr_10, round(coalesce(avg(ndcg_10), 0), 6) AS ndcg_10, round(coalesce(avg(hit_10), 0), 6) AS hit_10, round(coalesce(avg(hit_after_rerank), 0), 6) AS hit_after_rerank FROM cs")
 def eval_metrics(spark, sf):
     """Macro averages."""
     return R.macro_average(_cases(spark, sf))

@@ -54,6 +54,21 @@ def test_claims_in_sections_count_without_statements(spark, solution):
     assert got[2] == 1 and got[3] == 1 and got[1] == 0
 
 
+def test_components_without_ids_and_solutions_without_components(spark):
+    components = spark.createDataFrame([(1, None, "a", "d", "b", False), (1, None, "c", "d", "t", False), (2, "x", "a", "d", "b", False)], COMPONENTS)
+    integrations = spark.createDataFrame([(1, "p", "q", "http"), (2, "x", "q", "http"), (3, "p", "q", "http")], INTEGRATIONS)
+    sections = spark.createDataFrame([(4, "b", "без интеграций", 1), (3, "b", "без интеграций", 1)], SECTIONS)
+    none = spark.createDataFrame([], "solution_id int, text string")
+    got = {r.solution_id: tuple(r)[1:] for r in A.consistency(components, integrations, sections, none).collect()}
+    assert got == {1: (0, 0, 0, "passed"), 2: (0, 1, 0, "failed"), 3: (0, 0, 1, "failed"), 4: (0, 0, 0, "passed")}
+
+
+def test_a_shared_technology_links_layers(spark):
+    components = spark.createDataFrame([(1, "a", "one", "d", "b", False, "Kafka, Redis"), (1, "b", "two", "e", "t", False, "redis 7"), (2, "a", "one", "d", "b", False, None), (2, "b", "two", "e", "t", False, "redis 7")], COMPONENTS + ", technology_stack string")
+    none = [spark.createDataFrame([], kinds) for kinds in (INTEGRATIONS, SECTIONS)]
+    assert {r.solution_id: r.overlap for r in A.layer_links(components, *none, "b", "t", ("uses",)).collect()} == {1: True, 2: False}
+
+
 def test_order(spark):
     rows = [(1, "b", "", 1), (1, "a", "", 2), (1, "zz", "", 0), (2, "a", "", 1), (2, "c", "", 1), (2, "a", "", 9), (3, "zz", "", 1), (4, "b", "", None), (4, "c", "", 3)]
     got = {r.solution_id: (r.missing, r.observed, r.in_order) for r in A.section_order(spark.createDataFrame(rows, SECTIONS), ("a", "b", "c")).collect()}
