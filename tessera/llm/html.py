@@ -6,19 +6,24 @@ comments and the head vanish. A line's weight is its number of characters outsid
 links; lines of menus, page footers, sidebars, adverts, forms, reader comments and the
 like have no weight. Such an element is known by its name or role, or by a class or id:
 a word of ``SURE`` that is a whole class settles it, a word that is only a part of a
-class (``has-sidebar``, ``social-science-post``) is a hint, which is void for an element
-that holds most of the page's text.
+class (``has-sidebar``, ``social-science-post``) is a hint. In an article it is none unless all parts
+are such words (``social-share``, not ``legal-history``). A hint is void for an element that
+holds most of the text of its article, or of a page without one.
 
 Sum. The weights of ``window`` neighbouring lines are summed. A run of text begins at a
 surge point, the first line whose window reaches ``surge`` characters (half the page's
 largest window where that is less), and ends at the dive point, the first line whose
 window falls below ``dive``. Leading lines that are neither paragraphs, headings nor of
-``LINE`` characters, and lines without weight at both ends, aren't part of it. The start
-and end of an article or main element are surge and dive points that are known.
+``LINE`` characters, and lines without weight at both ends, aren't part of it, unless they are
+headings just above it, or follow a heading that ends it in the same element (a linked title,
+a list of linked references). Short lines outside of articles that begin like a notice have no
+weight. The start and end of an article or main element are surge and dive points that
+are known.
 
-Keep. Of the articles and runs, the one with most weight is the main text, an article
-also with half of the largest run's; runs of the same parent element are joined. All its
-lines are kept except those of boilerplate elements.
+Keep. Articles and main elements are the main text, all of them, if they hold ``LINE``
+characters; else the largest run, joined with the runs of the same parent element, and of
+sibling elements of its name and attributes. All lines are kept except those of boilerplate
+elements.
 
 Pages are handled where they lie (``mapInArrow``), with no shuffle; time is in proportion
 to a page's length however its elements are nested.
@@ -35,7 +40,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -69,8 +74,9 @@ SURE = _COMMENTS | frozenset("ad ads advert adverts advertisement adsense sponso
 HINTS = SURE | frozenset("notice alert popup modal overlay side aside foot share sharing social related recommended recommendations subscription signup login search toolbar widget skip legal copyright".split())
 #: Parts before a class word that turn it.
 _TURNED = frozenset("has no with without hide show is not".split())
-#: Text of short lines outside of articles that is no article.
-PHRASES = re.compile(r"cookie|newsletter|subscribe|sign up|log in|privacy policy|terms of (?:use|service)|all rights reserved|copyright|©|advertisement|share this|follow us|skip to", re.I)
+#: How short lines outside of articles begin that are notices, not text.
+NOTICE = re.compile(r"(?:we use cookies|this (?:site|website) uses cookies|subscribe to (?:our|the|this)|sign up (?:for|to)|log in\b|sign in\b|privacy policy|terms of (?:use|service)|all rights reserved|copyright\W*(?:\(c\)|\d{4})|©|advertisement$|share this|follow us|skip to)", re.I)
+NOTICE_LENGTH = 160
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>(?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)(?=>)|[^>]*)>?",
@@ -104,7 +110,7 @@ def suspicion(name: str, attributes: str, in_article: bool) -> int:
                 found = COMMENT
             elif word in SURE:
                 found = max(found, YES)
-            elif not HINTS.isdisjoint(parts):
+            elif HINTS.issuperset(parts) if in_article else not HINTS.isdisjoint(parts):
                 found = max(found, HINT)
     return found
 
@@ -115,7 +121,9 @@ class Line:
     weight: int
     mark: int  # of the boilerplate elements around it
     parent: int  # number of the element around it
+    kin: tuple[int, str, str]  # number of the element around that, and what the parent has in common with its like
     textual: bool
+    heading: bool
 
 
 class Page:
@@ -129,7 +137,7 @@ class Page:
         self.ends: dict[int, tuple[int, bool]] = {}
         self.articles: list[tuple[int, int]] = []
         self._titles: list[int] = []
-        self._stack: list[tuple[str, int, int, int]] = []  # (name, mark before, own mark, number)
+        self._stack: list[tuple[str, int, int, int, str]] = []  # (name, mark before, own mark, number, attributes)
         self._scopes: list[Counter] = [Counter()]
         self._mains: Counter = Counter()
         self._mark = self._number = self._depth = self._start = self._linked = 0
@@ -140,9 +148,11 @@ class Page:
     def _line(self) -> None:
         text = " ".join(html.unescape("".join(self._parts)).split())
         if text:
-            top = self._stack[-1] if self._stack else ("", 0, 0, 0)
-            outer = next((e for e in reversed(self._stack[-3:]) if e[0] not in _TEXTUAL and e[0] not in ("li", "ul", "ol")), ("", 0, 0, 0))
-            self.lines.append(Line(text, max(0, len(text) - self._linked), self._mark, outer[3], top[0] in _TEXTUAL))
+            name, n = self._stack[-1][0] if self._stack else "", len(self._stack)
+            at = next((k for k in range(n - 1, max(-1, n - 4), -1) if self._stack[k][0] not in _TEXTUAL and self._stack[k][0] not in ("li", "ul", "ol")), -1)
+            outer = self._stack[at] if at >= 0 else ("", 0, 0, 0, "")
+            around = self._stack[at - 1][3] if at > 0 else 0
+            self.lines.append(Line(text, max(0, len(text) - self._linked), self._mark, outer[3], (around, outer[0], outer[4]), name in _TEXTUAL, name in _HEADINGS))
         self._parts.clear()
         self._linked = 0
 
@@ -163,7 +173,7 @@ class Page:
             kept = own if doubt == COMMENT or name in ("nav", "aside", "footer", "menu") else self.marks[before][3]
             self.marks[own] = (doubt, len(self.lines), before, kept)
         self._number += 1
-        self._stack.append((name, before, own, self._number))
+        self._stack.append((name, before, own, self._number, " ".join(attributes.split())))
         self._scopes[-1][name] += 1
         if name in _MAIN:
             self._mains[name] += 1
@@ -174,7 +184,7 @@ class Page:
                     self._start = len(self.lines)
 
     def _pop(self, closed: bool) -> None:
-        name, before, own, _ = self._stack.pop()
+        name, before, own, *_ = self._stack.pop()
         if name in _MAIN:
             self._mains[name] -= 1
             self._scopes.pop()
@@ -244,7 +254,10 @@ class Page:
                 after = bisect_left(starts, start)
                 end = min([end, *starts[after : after + 1], *self._titles[later : later + 1]])
             held = chars[end] - chars[start]
-            void = doubt == HINT and not self.articles and held >= SURGE and 2 * held > chars[-1]
+            nth = bisect_right(starts, start) - 1
+            inside = nth >= 0 and start < self.articles[nth][1]
+            most = chars[self.articles[nth][1]] - chars[self.articles[nth][0]] if inside else chars[-1]
+            void = doubt == HINT and (inside or not self.articles) and held >= SURGE and 2 * held > most
             upto[k] = max(upto[around] if around else -1, -1 if void else end)
         return [k < upto[x.mark] for k, x in enumerate(self.lines)]
 
@@ -266,15 +279,20 @@ def _runs(weights: list[int], window: int, surge: float, dive: float) -> list[tu
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> str:
-    """The lines between the surge and the dive point of the page's largest run or article."""
+    """The lines of the page's articles, or between the surge and the dive point of its largest run."""
     read = Page(page or "")
     lines, left_out = read.lines, read.boilerplate()
+    kept = lambda spans: "\n".join(lines[k].text for a, b in spans for k in range(a, b) if not left_out[k])
     inside = [False] * len(lines)
     for a, b in read.articles:
         inside[a:b] = [True] * (b - a)
-    weights = [0 if out or not known and len(x.text) < 160 and PHRASES.search(x.text) else x.weight for x, out, known in zip(lines, left_out, inside, strict=True)]
+    weights = [0 if out or not known and len(x.text) < NOTICE_LENGTH and NOTICE.match(x.text) else x.weight for x, out, known in zip(lines, left_out, inside, strict=True)]
     held = [0, *accumulate(weights)]
+    weight = lambda r: held[r[1]] - held[r[0]]
     least = min(LINE, max(weights, default=0) / 2)
+    told = sum(map(weight, read.articles))
+    if told >= LINE:
+        return kept(read.articles)
     runs = []
     for a, b in _runs(weights, window, surge, dive):
         while a < b and not (weights[a] and (lines[a].textual or weights[a] >= least)):
@@ -283,19 +301,31 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE, dive
             b -= 1
         if a < b:
             runs.append((a, b))
-    weight = lambda r: held[r[1]] - held[r[0]]
     best = max(runs, key=lambda r: (weight(r), -r[0]), default=(0, 0))
-    article = max(read.articles, key=lambda r: (weight(r), -r[0]), default=(0, 0))
-    if weight(article) and 2 * weight(article) >= weight(best):
-        first, last = article
-    else:
-        shares: Counter = Counter()
-        for k in range(*best):
-            shares[lines[k].parent] += weights[k]
-        home = shares.most_common(1)[0][0] if shares else 0
-        same = [best, *(r for r in runs if lines[max(range(*r), key=weights.__getitem__)].parent == home)]
-        first, last = min(a for a, _ in same), max(b for _, b in same)
-    return "\n".join(x.text for x, out in zip(lines[first:last], left_out[first:last], strict=True) if not out)
+    if told and 2 * told >= weight(best):
+        return kept(read.articles)
+    if not weight(best):
+        return ""
+    home = lambda r: lines[_home(lines, weights, r)]
+    own = home(best)
+    same = [best, *(r for r in runs if home(r).parent == own.parent or own.kin[1] and home(r).kin == own.kin)]
+    first, last = min(a for a, _ in same), max(b for _, b in same)
+    parents = {home(r).parent for r in same}
+    while first and not left_out[first - 1] and (lines[first - 1].heading or lines[first - 1].textual and lines[first - 1].parent in parents):
+        first -= 1
+    if lines[last - 1].heading:
+        while last < len(lines) and not left_out[last] and not weights[last] and lines[last].parent in parents:
+            last += 1
+    return kept([(first, last)])
+
+
+def _home(lines: list[Line], weights: list[int], run: tuple[int, int]) -> int:
+    """A line of the parent that holds most of a run."""
+    shares: Counter = Counter()
+    for k in range(*run):
+        shares[lines[k].parent] += weights[k]
+    parent = shares.most_common(1)[0][0]
+    return next(k for k in range(*run) if lines[k].parent == parent)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

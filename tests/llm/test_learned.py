@@ -450,3 +450,32 @@ def test_url_templates_reject_by_purity(spark):
     got = {r.path: r for r in urls.judge(pages, rules=rules).collect()}
     assert got["/ads/299"].rule is None and got["/ads/299"].verdict == "block" and got["/ads/299"].template == "ads/*"
     assert got["/docs/299"].verdict == "allow"
+
+
+SAID = "This paragraph is long enough to be the text of an article, and it says so in plain words."
+OTHER = "Another paragraph of the same article goes on for a while about something else entirely."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # words of boilerplate in the text are text
+        (f"<body><p>The newsletter of the club was first printed in 1950.</p><p>{SAID}</p><p>{OTHER}</p><p>The copyright dispute ended in 1999.</p></body>", f"The newsletter of the club was first printed in 1950.\n{SAID}\n{OTHER}\nThe copyright dispute ended in 1999."),
+        # a part of a class settles nothing inside an article
+        (f'<article><p>{SAID}</p><p class="legal-history">{OTHER}</p><p class="copyright-law">Short.</p><blockquote class="social-quote">Said.</blockquote><div class="search-engines">{SAID} {OTHER}</div><div class="social-share">Tell a friend</div></article>',
+         f"{SAID}\n{OTHER}\nShort.\nSaid.\n{SAID} {OTHER}"),
+        # but a hint that holds most of an article is void
+        (f'<article><h1>T</h1><div class="alert-notice"><p>{SAID}</p><p>{OTHER}</p></div></article>', f"T\n{SAID}\n{OTHER}"),
+        # linked titles and references belong to the text
+        (f'<body><div><h1><a href="/x">A linked title</a></h1><p>{SAID}</p><p>{OTHER}</p><h2>References</h2><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></div><div><ul><li><a href="/m">Menu</a></li></ul></div></body>',
+         f"A linked title\n{SAID}\n{OTHER}\nReferences\nOne\nTwo"),
+        # sections of an article with a list of short items between them
+        (f"<body><div><section><p>{SAID}</p><p>{OTHER}</p></section><ul>{''.join(f'<li>x{k}</li>' for k in range(12))}</ul><section><p>{OTHER}</p><p>{SAID}</p></section></div></body>", "\n".join([SAID, OTHER, *(f"x{k}" for k in range(12)), OTHER, SAID])),
+        # every article of a page
+        (f"<body><article><p>{SAID}</p></article><p>Between.</p><article><p>{OTHER} {SAID}</p></article></body>", f"{SAID}\n{OTHER} {SAID}"),
+        # a short article beside long comments
+        (f'<body><article><h1>Title</h1><p>{SAID}</p></article><div class="reactions">{"".join(f"<p>{OTHER}</p>" for _ in range(9))}</div></body>', f"Title\n{SAID}"),
+    ],
+)
+def test_html_loses_no_article_text(page, text):
+    assert html.main_text(f"<html>{page}</html>") == text
