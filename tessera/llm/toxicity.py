@@ -3,8 +3,9 @@
 Words are read as classes: insult, threat, target (the one who is addressed), negation
 and reporting verb. Each class has a transducer, a table of weighted arcs ``(state, class)
 -> (state, factors)`` that remembers for a few words what went before; ``compose`` makes
-their product. The product reads a clause from the left, and the target's transducer from
-the right as well (a bimachine), so that a target counts on both sides. At an insult, and
+their product. The product reads a clause from the left, and that of target and reported
+speech from the right as well (a bimachine), so that these count on both sides ("idiot, he said").
+A contracted "n't" is the word "not"; a sign before a closing quote ends no clause. At an insult, and
 at a threat with a target near, the arcs emit the factors that hold there: target,
 negation, reported speech.
 
@@ -52,16 +53,17 @@ NONE, INSULT, THREAT, TARGET, NEGATION, REPORT = CLASSES = range(6)
 #: Word lists of the grammar: fixed values in English, German, French and Spanish.
 THREATS = frozenset("kill murder shoot stab strangle töten umbringen erschießen tuer égorger matar asesinar".split())
 TARGETS = frozenset("you your yours yourself du dich dir dein deine ihr euch tu toi vous votre usted ustedes tú vosotros".split())
-NEGATIONS = frozenset("not never neither nicht kein keine niemals jamais nunca jamás".split())
+NEGATIONS = frozenset("not no never neither nor none nobody cannot nicht nichts nie kein keine keinen keinem keiner niemals ne pas jamais aucun aucune nunca jamás ni ningún ninguna".split())
 REPORTS = frozenset("said says wrote quoted called sagte schrieb nannte disait écrivait appelé dijo escribió llamó".split())
 #: How many words a target, a negation and a reporting verb reach.
-REACH = {TARGET: 5, NEGATION: 3, REPORT: 12}
+REACH = {TARGET: 5, NEGATION: 5, REPORT: 12}
 #: Prior means of the weights of the factors target, negation, reported speech, and of an arc.
 PRIORS, ARC = (0.5, -2.0, -1.5), 2.0
 #: Factors as bits of a match; a threat's kind is a bit as well.
 REPORTED, NEGATED, ADDRESSED, THREATENED = 1, 2, 4, 8
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+CLAUSE = re.compile(r"[.!?;:\n]+(?![\"”»’'.!?;:\n])")
+CONTRACTED = re.compile(r"n['’]t\b")
 #: Shortest and longest stem in letters.
 STEM = (3, 12)
 
@@ -94,7 +96,7 @@ def numbered(t: Transducer) -> list[list[tuple[int, int]]]:
 
 _BEHIND = scope(TARGET, ADDRESSED, REACH[TARGET])
 FORWARD = numbered(compose(compose(_BEHIND, scope(NEGATION, NEGATED, REACH[NEGATION])), scope(REPORT, REPORTED, REACH[REPORT])))
-BACKWARD = numbered(_BEHIND)
+BACKWARD = numbered(compose(_BEHIND, scope(REPORT, REPORTED, REACH[REPORT])))
 
 
 def matches(kinds: list[int]) -> Iterator[tuple[int, int]]:
@@ -142,7 +144,7 @@ class Grammar:
 
     def matched(self, text: str | None, kinds: Cache) -> list[tuple[int, str | None]]:
         """``(factors, stem)`` of each match of a whole text; a threat has no stem."""
-        text = (text or "").lower()
+        text = CONTRACTED.sub(" not", (text or "").lower())
         if {INSULT, THREAT}.isdisjoint(kinds[w][0] for w in WORD.findall(text)):
             return []
         found = []
@@ -181,12 +183,12 @@ def fitted(grammar: Grammar, found: list[tuple[int, list[tuple[int, str | None,
             p = 1 / (1 + np.exp(-np.clip(w[arc] + x @ w[size:], -30, 30)))
             slope, bend = n * (np.minimum(share, 1) - p), n * p * (1 - p)
             g = np.concatenate([np.bincount(arc, slope, size), x.T @ slope]) - (w - mean) / scale
-            h = np.zeros((len(w), len(w)))
-            h[np.arange(size), np.arange(size)] = np.bincount(arc, bend, size)
-            for k in range(x.shape[1]):
-                h[:size, size + k] = h[size + k, :size] = np.bincount(arc, bend * x[:, k], size)
-            h[size:, size:] = (x.T * bend) @ x
-            w = w + np.clip(np.linalg.solve(h + np.diag(1 / scale), g), -2, 2)
+            # the arcs meet only in the factors: their block is diagonal, so the step is solved in the factors alone
+            own = np.bincount(arc, bend, size) + 1 / scale[:size]
+            cross = np.stack([np.bincount(arc, bend * x[:, k], size) for k in range(x.shape[1])], 1)
+            corner = (x.T * bend) @ x + np.diag(1 / scale[size:]) - cross.T @ (cross / own[:, None])
+            step = np.linalg.solve(corner, g[size:] - cross.T @ (g[:size] / own))
+            w = w + np.clip(np.concatenate([(g[:size] - cross @ step) / own, step]), -2, 2)
             # negation and reported speech never raise a match, a target never lowers it
             w[size:] = np.clip(w[size:], (0.0, -np.inf, -np.inf), (np.inf, -0.1, -0.1))
     return Grammar({s: float(w[arcs[s]]) for s in grammar.stems}, float(w[0]), tuple(float(v) for v in w[size:]), grammar.base)

@@ -276,6 +276,10 @@ def test_grammar_scores():
     assert codes("i will kill you") == [12] and codes("kill the process") == []
     assert score("you idiot") > score("what an idiot") > score("he said idiot") > score("he said she is not an idiot") > score("nothing")
     assert score("what an idiot") > score("she is not an idiot") and score("i will kill you") > score("i will not kill you")
+    # negations of every form, reported speech on both sides of the clause
+    for said in ("you're no idiot", "isn't an idiot", "don't be an idiot", "he’s not really an idiot", "ce n'est pas un idiot", "nie ein idiot", "idiot, he said", "\"what an idiot!\" she wrote"):
+        assert score(said) < score("what an idiot") and score(said) < score("you idiot"), said
+    assert codes("what an idiot! she wrote") == [0] and codes("important idiot") == [0]
     # an unseen combination backs off to its factors, whatever training showed
     learned = toxicity.fitted(g, [(1, [(0, "idiot", 1)])] * 50 + [(1, [(2, "idiot", 2)])] * 50)
     assert learned.match(2, "idiot") < learned.match(0, "idiot") and learned.match(3, "idiot") < learned.match(2, "idiot")
@@ -301,7 +305,7 @@ def test_grammar_by_force(spark):
                 target = any(x in toxicity.TARGETS for x in words[max(0, k - 4) : k + 5])
                 if arc is None or w in toxicity.THREATS and not target:
                     continue
-                total = arc + 0.4 * target - 1.1 * any(x in toxicity.NEGATIONS for x in words[max(0, k - 2) : k]) - 0.6 * any(x in toxicity.REPORTS for x in words[max(0, k - 11) : k])
+                total = arc + 0.4 * target - 1.1 * any(x in toxicity.NEGATIONS for x in words[max(0, k - 4) : k]) - 0.6 * any(x in toxicity.REPORTS for x in words[max(0, k - 11) : k + 12])
                 rest *= 1 - 1 / (1 + np.exp(-total))
         want.append(1 - rest)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
