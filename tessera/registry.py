@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import facts, journal, knowledge, pages, readers, readiness, relational, rows, rulebook, search, solutions, techpolicy, texts, versions
+from tessera.plans import facts, journal, knowledge, pages, payloads, readers, readiness, relational, rows, rulebook, search, solutions, techpolicy, texts, versions
 from tessera.plans.base import QUERIES, SQL
 
-MODULES = (facts, journal, knowledge, pages, readers, readiness, relational, rows, rulebook, search, solutions, techpolicy, texts, versions)
+MODULES = (facts, journal, knowledge, pages, payloads, readers, readiness, relational, rows, rulebook, search, solutions, techpolicy, texts, versions)
 
 
 def queries():
