@@ -6,8 +6,10 @@ the document or the checksum.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +60,34 @@ def embedding_key(parts: Sequence[Column]) -> Column:
 def fingerprint(fields: Sequence[Column]) -> Column:
     """SHA-256 of canonical JSON; name the fields in their order."""
     return F.sha2(F.to_json(F.struct(*fields)), 256)
+
+
+def ordered_hash(rows: DataFrame, key: str, value: str, name: str = "hash") -> DataFrame:
+    """``(key, n, hash)``: the number of each key's values, and SHA-256 of them in order, joined by commas.
+
+    The hash runs over the sorted rows as a stream, so a key may have any number of values. Null values
+    are left out, a null key is a key.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    kept = rows.select(F.col(key).alias("k"), F.col(value).cast("string").alias("v")).where("v is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, last, count, running = False, None, 0, None
+        for batch in batches:
+            keys, counts, hashes = [], [], []
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if open_ and k == last:
+                    running.update(b",")
+                else:
+                    if open_:
+                        keys.append(last)
+                        counts.append(count)
+                        hashes.append(running.hexdigest())
+                    open_, last, count, running = True, k, 0, hashlib.sha256()
+                running.update(v.encode())
+                count += 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("k").type), pa.array(counts, pa.int64()), pa.array(hashes, pa.string())], ["k", "n", name])
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([count], pa.int64()), pa.array([running.hexdigest()])], ["k", "n", name])
+
+    return kept.repartition("k").sortWithinPartitions("k", "v").mapInArrow(run, f"k {kind}, n bigint, {name} string").withColumnRenamed("k", key)

@@ -9,7 +9,7 @@ from tessera.functions import text as X
 from tessera.operators import extraction as E
 from tessera.operators import pagefilter as PF
 
-from .base import FRAGMENTS_SQL, fragments, query, table
+from .base import FRAGMENTS_SQL, SQL, fragments, query, table
 
 #: Markers that the invented prose of the test tables has: the catalogue is a parameter of the operators.
 CATALOGUE = {
@@ -115,6 +115,17 @@ def rule_extraction(spark, sf):
     return E.normative_rules(table(spark, sf, "documents"), _RULE_WORDS, ("not ",)).drop("confidence")
 
 
+_CONFLICT = r"array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(rule), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('the', 'of', 'only', 'le', 'de')), ' ')"
+
+
+@query(f"""WITH rules AS ({SQL["rule_extraction"]}), s AS (SELECT doc_id, code, {_CONFLICT} AS signature, negated FROM rules),
+g AS (SELECT signature, count(*) AS rules, CASE WHEN bool_or(negated) AND NOT bool_and(negated) THEN 'polarity_conflict' ELSE 'duplicate_rule' END AS conflict FROM s GROUP BY signature HAVING count(*) > 1)
+SELECT doc_id, code, signature, rules, conflict FROM s JOIN g USING (signature)""")
+def rule_conflicts(spark, sf):
+    """The extracted rules of whole texts that repeat or contradict another of their signature."""
+    return E.rule_conflicts(E.normative_rules(table(spark, sf, "documents"), _RULE_WORDS, ("not ",)), quantity=("only",), modal=("the", "of", "le", "de"))
+
+
 @query(f"""WITH {FRAGMENTS_SQL} SELECT doc_id, document_type, source_weight::DOUBLE AS source_weight, document_type = 'normative' OR fragment_type = 'rule' AS normative_flag, document_type = 'api' OR fragment_type = 'api' AS api_flag,
 regexp_matches(lower(content), 'postgres|docker|kubernetes|python|redis|pgvector') AS technology_flag, sha1(content) AS content_hash FROM frag""")
 def chunk_metadata(spark, sf):

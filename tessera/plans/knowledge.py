@@ -67,11 +67,15 @@ def run_detail(spark, sf):
     return O.capped_per_key(by_corr.unionByName(by_target), ["run"], [F.desc("ts"), F.asc("event_id")], 50).select("run", "event_id")
 
 
-@query("""SELECT source, count(*) AS documents, list_sort(list(doc_id)) AS doc_ids, count(quality) AS processed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL""")
+@query("""WITH s AS (SELECT source, count(*) AS documents, count(quality) AS processed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL), p AS (SELECT source, doc_id // 1000 AS page, list_sort(list(doc_id)) AS doc_ids FROM documents GROUP BY ALL)
+SELECT source, page, doc_ids, documents, processed FROM p JOIN s USING (source)""")
 def source_snapshot(spark, sf):
-    """Each source with its documents nested."""
-    rows = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"), F.count("quality").alias("processed"))
+    """Each source with its documents nested, in pages of a thousand ids, and its counts."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    rows = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("quality").alias("processed"))
+    pages = docs.groupBy("source", F.floor(F.col("doc_id") / 1000).alias("page")).agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+    return pages.join(counts, "source").select("source", "page", "doc_ids", "documents", "processed")
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'warning' ELSE 'info' END AS tone, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 1 DAY END, o_orderdate) AS created FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000""")
@@ -95,21 +99,27 @@ def empty_cause(spark, sf):
 SELECT doc_id, CASE WHEN rank = de THEN 'required_basis' WHEN rank = fr THEN 'normative_match' ELSE 'score' END AS reason FROM r JOIN m USING (source) WHERE rank <= 12""")
 def selection_reason(spark, sf):
     """The first of each kind names its reason."""
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    r = table(spark, sf, "documents").select("doc_id", "source", "lang", F.row_number().over(w).alias("rank"))
-    m = r.groupBy("source").agg(F.min(F.when(F.col("lang") == "de", F.col("rank"))).alias("de"), F.min(F.when(F.col("lang") == "fr", F.col("rank"))).alias("fr"))
-    reason = F.when(F.col("rank") == F.col("de"), "required_basis").when(F.col("rank") == F.col("fr"), "normative_match").otherwise("score")
-    return r.where("rank <= 12").join(m, "source").select("doc_id", reason.alias("reason"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    # the limit reaches below the shuffle; a first of its kind further down names no reason
+    best = O.capped_per_key(docs, ["source"], [F.desc("n_chars"), F.asc("doc_id")], 12)
+    w = Window.partitionBy("source", "lang").orderBy(F.desc("n_chars"), "doc_id")
+    first = F.row_number().over(w) == 1
+    reason = F.when(first & (F.col("lang") == "de"), "required_basis").when(first & (F.col("lang") == "fr"), "normative_match").otherwise("score")
+    return best.select("doc_id", reason.alias("reason"))
 
 
 @query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS k FROM documents), o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, n_chars DESC, doc_id) AS pos FROM b)
 SELECT doc_id, source, pos AS position FROM o WHERE pos <= 6""")
 def one_per_section(spark, sf):
     """The best of every section first, then the best of the rest up to a limit."""
-    k = F.row_number().over(Window.partitionBy("source", "lang").orderBy(F.desc("n_chars"), "doc_id"))
-    best = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars").withColumn("k", k)
-    pos = F.row_number().over(Window.partitionBy("source").orderBy(F.when(F.col("k") == 1, 0).otherwise(1), F.desc("n_chars"), "doc_id"))
-    return best.withColumn("p", pos).where("p <= 6").select("doc_id", "source", F.col("p").cast("bigint").alias("position"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    order = F.struct(-F.col("n_chars"), F.col("doc_id"))
+    first = docs.groupBy("source", "lang").agg(F.min(order).alias("x")).select("source", F.lit(0).alias("later"), "x")
+    # the six best of a source are enough to fill up with; those that are the best of a section come once
+    rest = O.capped_per_key(docs, ["source"], [F.desc("n_chars"), F.asc("doc_id")], 6).select("source", F.lit(1).alias("later"), order.alias("x"))
+    both = first.unionByName(rest).groupBy("source", "x").agg(F.min("later").alias("later"))
+    pos = F.row_number().over(Window.partitionBy("source").orderBy("later", "x"))
+    return both.withColumn("p", pos).where("p <= 6").select(F.col("x.doc_id").alias("doc_id"), "source", F.col("p").cast("bigint").alias("position"))
 
 
 @query("""WITH need AS (SELECT DISTINCT source FROM documents), have AS (SELECT DISTINCT source FROM documents WHERE lang = 'de'), miss AS (SELECT source FROM need WHERE source NOT IN (SELECT source FROM have))

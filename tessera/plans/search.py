@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tessera.functions.hashing import hash_embedding
 from tessera.functions.text import search_tokens
 from tessera.functions.vectors import normalised
+from tessera.operators import embedding as E
 from tessera.operators import retrieval as R
+from tessera.operators.shared import shared_path
 
-from .base import FRAGMENTS_SQL, benchmark_queries, fragments, query, table, tokens_sql
+from .base import FRAGMENTS_SQL, SQL, benchmark_queries, fragments, query, table, tokens_sql
 
 _BM25 = f"""WITH {FRAGMENTS_SQL},
 tok AS (SELECT doc_id, {tokens_sql("title || ' ' || content")} AS t FROM frag),
@@ -85,6 +87,16 @@ def hash_embeddings(spark, sf):
     return found.select("doc_id", F.transform("e", lambda x: F.round(x, 6) + 0.0).alias("embedding"))
 
 
+@query(SQL["hash_embeddings"])
+def stored_embeddings(spark, sf):
+    """The same from a store of vectors by key, in which equal texts and texts of earlier runs are not made again."""
+    docs, profile = table(spark, sf, "documents").select("doc_id", "text"), E.Profile("statistical", 64, cut="whole")
+    store = E.VectorStore(spark, shared_path(spark))
+    store.add(table(spark, sf, "benchmark"), profile)
+    store.add(docs.where("doc_id % 2 = 0"), profile)
+    return store.embedded(docs, profile).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6) + 0.0).alias("embedding"))
+
+
 @query(_BM25 + _FUSED + "SELECT query_id, doc_id, rank, round(fusion, 8) AS fusion FROM top")
 def rrf_fuse(spark, sf):
     """Fusion of the vector, the lexical and the keyword list."""

@@ -80,20 +80,6 @@ def rule_classify(spark, sf):
     return table(spark, sf, "documents").select("doc_id", kind.alias("kind"), X.has_negation(t, ("only", "pas ")).alias("negated"), F.round(confidence, 4).alias("confidence"))
 
 
-_CONFLICT = r"array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('the', 'of', 'only', 'le', 'de')), ' ')"
-
-
-@query(f"""SELECT {_CONFLICT} AS signature, count(*) AS rules, CASE WHEN count(DISTINCT contains(lower(text), 'only')) > 1 THEN 'polarity_conflict' ELSE 'duplicate_rule' END AS conflict, list_sort(list(doc_id)) AS codes
-FROM documents GROUP BY 1 HAVING count(*) > 1""")
-def rule_conflicts(spark, sf):
-    """Rules of one signature that repeat or contradict each other."""
-    first = F.element_at(F.split("text", "\n"), 1)
-    signature = X.conflict_signature(first, quantity=("only",), modal=("the", "of", "le", "de"))
-    rows = table(spark, sf, "documents").select("doc_id", signature.alias("signature"), F.contains(F.lower("text"), F.lit("only")).alias("negated"))
-    both = F.when(F.min("negated") != F.max("negated"), "polarity_conflict").otherwise("duplicate_rule")
-    return rows.groupBy("signature").agg(F.count(F.lit(1)).alias("rules"), both.alias("conflict"), F.array_sort(F.collect_list("doc_id")).alias("codes")).where("rules > 1")
-
-
 @query(r"""WITH i AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+)', 1)) AS item FROM documents),
 d AS (SELECT DISTINCT doc_id, lower(item) AS item FROM i)
 SELECT item, count(*) AS documents FROM d GROUP BY ALL""")

@@ -72,8 +72,7 @@ def checksum_reuse(spark, sf):
 @query(f"""WITH {_V1}, {_V2} SELECT source, count(*) AS documents, sha256(string_agg(checksum, ',' ORDER BY checksum)) AS version_hash FROM v2 GROUP BY ALL""")
 def version_hash(spark, sf):
     """A source's documents and the hash of their sorted checksums."""
-    sums = F.array_join(F.array_sort(F.collect_list("checksum")), ",")
-    return after(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sha2(sums, 256).alias("version_hash"))
+    return V.ordered_hash(after(spark, sf), "source", "checksum", "version_hash").withColumnRenamed("n", "documents")
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(concat_ws(chr(10), sha256(text), lang, source, 'chunking-1', 'space-1', '64', 'cosine')) AS embedding_key FROM documents")
