@@ -18,8 +18,16 @@ def elements(text: Column, aliases: Iterable[tuple[str, str]]) -> Column:
 def align(sections: DataFrame, allowed: DataFrame, aliases: Iterable[tuple[str, str]], section: str = "section", text: str = "text") -> DataFrame:
     """The sections with ``found``, ``disallowed`` and ``aligned`` (has an allowed element).
 
-    ``allowed`` holds section and an array ``elements``; a section without a row allows nothing.
+    ``allowed`` holds section and an array ``elements``; a section without a row, or with an
+    empty one, allows everything and is aligned if it has text. A null text has no elements.
     """
-    rows = sections.withColumn("found", elements(F.col(text), aliases)).join(allowed, section, "left")
-    fine = F.coalesce("elements", F.array().cast("array<string>"))
-    return rows.withColumn("disallowed", F.array_except("found", fine)).withColumn("aligned", F.arrays_overlap("found", fine)).drop("elements")
+    rows = sections.withColumn("found", F.coalesce(elements(F.col(text), aliases), F.array().cast("array<string>"))).join(allowed, section, "left")
+    listed = F.coalesce(F.size("elements") > 0, F.lit(False))
+    told = F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")) != "", F.lit(False))
+    disallowed = F.when(listed, F.array_except("found", "elements")).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("disallowed", disallowed).withColumn("aligned", F.when(listed, F.arrays_overlap("found", "elements")).otherwise(told)).drop("elements")
+
+
+def alignment_counts(aligned: DataFrame, key: str = "solution_id") -> DataFrame:
+    """``(key, layered, disallowed, weak)``: how many sections a solution has, with disallowed elements, and without allowed ones."""
+    return aligned.groupBy(key).agg(F.count(F.lit(1)).alias("layered"), F.count_if(F.size("disallowed") > 0).alias("disallowed"), F.count_if(~F.col("aligned")).alias("weak"))

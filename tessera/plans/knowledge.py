@@ -245,9 +245,9 @@ def near_duplicate_bodies(spark, sf):
 _PHRASE = "' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' '".replace("\\\\", "\\")
 
 
-@query(f"""WITH e AS (SELECT doc_id, lang, list_filter(['Limit', 'Place', 'Terms'], lambda x: CASE x WHEN 'Limit' THEN contains({_PHRASE}, ' only ') WHEN 'Place' THEN contains({_PHRASE}, ' entre ') OR contains({_PHRASE}, ' to the ') ELSE contains({_PHRASE}, ' license ') END) AS found FROM documents),
+@query(f"""WITH e AS (SELECT doc_id, lang, list_filter(['Limit', 'Place', 'Terms'], lambda x: CASE x WHEN 'Limit' THEN contains({_PHRASE}, ' only ') WHEN 'Place' THEN contains({_PHRASE}, ' entre ') OR contains({_PHRASE}, ' to the ') ELSE contains({_PHRASE}, ' license ') END) AS found, coalesce(text ~ '(?s).*\\S.*', false) AS told FROM documents),
 a AS (SELECT * FROM (VALUES ('en', ['Limit', 'Terms']), ('fr', ['Place'])) AS a(lang, elements))
-SELECT doc_id, found, list_filter(found, lambda x: NOT list_contains(coalesce(elements, []), x)) AS disallowed, len(list_intersect(found, coalesce(elements, []))) > 0 AS aligned FROM e LEFT JOIN a USING (lang)""")
+SELECT doc_id, found, CASE WHEN elements IS NULL THEN [] ELSE list_filter(found, lambda x: NOT list_contains(elements, x)) END AS disallowed, CASE WHEN elements IS NULL THEN told ELSE len(list_intersect(found, elements)) > 0 END AS aligned FROM e LEFT JOIN a USING (lang)""")
 def ontology_alignment(spark, sf):
     """H43, VR-NRM-02/05/06: elements of a vocabulary in texts, against what their section allows."""
     from tessera.operators import ontology

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import relational as O
 
-from . import solutions
+from . import solutions, techpolicy
 from .base import SQL, query, table
 
 #: Patterns of the non-functional rules: fixed values. "ha" is a bare substring.
@@ -41,7 +41,7 @@ def _basis(have: str, expected: str, contradiction: str, linked: str) -> str:
     )
 
 
-def rules(goal=("goal", "цель", "результат"), context=("context", "контекст", "as is"), api=("api", "rest", "grpc", "soap", "webhook", "интеграц"), prohibited=("deprecated", "forbidden"), data=("data", "данн")) -> list[tuple[str, str, str, str]]:
+def rules(goal=("goal", "цель", "результат"), context=("context", "контекст", "as is"), api=("api", "rest", "grpc", "soap", "webhook", "интеграц"), data=("data", "данн")) -> list[tuple[str, str, str, str]]:
     """``(code, group, severity, expression)``; the vocabularies are parameters."""
     return [
         ("VR-TEC-01", "technical", "critical", "CASE WHEN state IS NULL THEN 'not_determined' WHEN state = 'published' THEN 'passed' ELSE 'failed' END"),
@@ -56,11 +56,11 @@ def rules(goal=("goal", "цель", "результат"), context=("context", "
         ("VR-STR-06", "structure", "critical", _present("missing_sections = 0")),
         ("VR-STR-07", "structure", "critical", _present("misplaced_sections = 0")),
         ("VR-NRM-01", "normative", "major", _basis("basis > 0", "missing_packages > 0", "contradictions > 0", "selected > 0 OR with_refs > 0")),
-        ("VR-NRM-02", "normative", "major", "CASE WHEN sections = 0 THEN 'not_determined' WHEN aligned = 0 THEN 'failed' WHEN aligned < sections THEN 'warning' ELSE 'passed' END"),
-        ("VR-NRM-03", "normative", "major", f"CASE WHEN {any_of('body', prohibited)} THEN 'failed' WHEN aligned > 0 THEN 'passed' WHEN materials > 0 THEN 'warning' ELSE 'not_determined' END"),
+        ("VR-NRM-02", "normative", "major", _basis("basis > 0", "missing_packages > 0", "contradictions > 0 OR disallowed > 0", "layered > 0 AND weak = 0")),
+        ("VR-NRM-03", "normative", "critical", _basis("technology_status IS NOT NULL", "missing_packages > 1", "technology_status = 'failed'", "technology_status = 'passed'")),
         ("VR-NRM-04", "normative", "minor", _basis("selected > 0", "missing_packages > 1", "false", "with_refs > 0")),
         ("VR-NRM-05", "normative", "critical", _present("disallowed = 0")),
-        ("VR-NRM-06", "normative", "major", _present("aligned >= sections", "warning")),
+        ("VR-NRM-06", "normative", "major", "CASE WHEN layered = 0 THEN 'failed' WHEN weak > 0 THEN 'warning' ELSE 'passed' END"),
         ("VR-CNS-01", "consistency", "major", _present("duplicates = 0 AND dangling = 0 AND contradictions = 0")),
         ("VR-CNS-02", "consistency", "major", "CASE WHEN sections = 0 THEN 'failed' WHEN with_refs = sections THEN 'passed' WHEN with_refs > 0 THEN 'warning' ELSE 'failed' END"),
         ("VR-CNS-03", "consistency", "major", "CASE WHEN business = 0 THEN 'not_applicable' WHEN components > 0 AND linked_business > 0 THEN 'passed' ELSE 'warning' END"),
@@ -90,7 +90,7 @@ def protocol(results: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 #: Vocabulary that occurs in the given texts.
-WORDS = dict(goal=("the ", "der "), context=("and ", "und "), api=("only",), prohibited=("license",), data=("of ", "de "))
+WORDS = dict(goal=("the ", "der "), context=("and ", "und "), api=("only",), data=("of ", "de "))
 
 
 def facts(spark, sf: str) -> DataFrame:
@@ -118,6 +118,8 @@ def facts(spark, sf: str) -> DataFrame:
         solutions.solution_consistency(spark, sf).select(key, "duplicates", "dangling", "contradictions"),
         solutions.section_order(spark, sf).select(key, F.size("missing").alias("missing_sections"), (~F.col("in_order")).cast("int").alias("misplaced_sections")),
         solutions.task_trace(spark, sf).select(key, (F.col("names") + F.col("texts")).alias("traced")),
+        solutions.section_alignment(spark, sf).select(key, "layered", "disallowed", "weak"),
+        techpolicy.technology_conflicts(spark, sf).select(F.col("solution").alias("doc_id"), F.col("status").alias("technology_status")),
     ]
     for part in counted:
         g = g.join(part, "doc_id", "left")
@@ -128,20 +130,20 @@ def facts(spark, sf: str) -> DataFrame:
         F.when(i % 5 == 0, F.lit(None)).when(i % 5 == 1, "draft").otherwise("published").alias("state"), F.when(i % 7 != 0, i).alias("version"),
         (i % 3).alias("missing_packages"), (i % 4).alias("materials"), (i % 2).alias("selected"), F.when(i % 6 == 0, "").otherwise("task").alias("task"),
         (i % 3).alias("assumptions"), (i % 2).alias("constraints"), F.col("components").alias("disclosure"), F.greatest(F.lit(0), F.col("last") - 1).alias("risks"), (i % 3).alias("next_steps"),
-        F.col("components").alias("aligned"), F.when(i % 8 == 0, 1).otherwise(0).alias("disallowed"),
+        "layered", "disallowed", "weak", "technology_status",
     )
 
 
 FACTS_SQL = f"""g AS (SELECT conv_id AS doc_id, string_agg(lower(text), ' ' ORDER BY turn, lower(text)) AS body, count(*) AS sections, count(*) FILTER (role = 'assistant') AS components,
   count(*) FILTER (contains(text, chr(10))) AS integrations, count(*) FILTER (contains(text, chr(10)) AND length(text) <= 150) AS incomplete, count(*) FILTER (role = 'system') AS basis,
   count(*) FILTER (length(text) > 150) AS with_refs, max(turn) AS last FROM conversations GROUP BY ALL),
-l1 AS ({SQL["layer_links"]}), l2 AS ({SQL["technology_links"]}), k AS ({SQL["solution_consistency"]}), o AS ({SQL["section_order"]}), t AS ({SQL["task_trace"]}),
+l1 AS ({SQL["layer_links"]}), l2 AS ({SQL["technology_links"]}), k AS ({SQL["solution_consistency"]}), o AS ({SQL["section_order"]}), t AS ({SQL["task_trace"]}), sa AS ({SQL["section_alignment"]}), tp AS ({SQL["technology_conflicts"]}),
 f AS (SELECT g.doc_id, body, sections, components, integrations, incomplete, basis, with_refs, duplicates, dangling, contradictions, len(missing) AS missing_sections, CASE WHEN in_order THEN 0 ELSE 1 END AS misplaced_sections,
   l1.left_n AS business, CAST(l1.relation OR l1.edge OR l1.overlap AS INT) AS linked_business, l2.right_n AS technology, CAST(l2.relation OR l2.edge OR l2.overlap AS INT) AS linked_technology, coalesce(names + texts, 0) AS traced,
   CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'draft' ELSE 'published' END AS state,
   CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS version, doc_id % 3 AS missing_packages, doc_id % 4 AS materials, doc_id % 2 AS selected, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'task' END AS task,
-  doc_id % 3 AS assumptions, doc_id % 2 AS constraints, components AS disclosure, greatest(0, last - 1) AS risks, doc_id % 3 AS next_steps, components AS aligned, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS disallowed
-  FROM g LEFT JOIN l1 ON l1.solution_id = doc_id LEFT JOIN l2 ON l2.solution_id = doc_id LEFT JOIN k ON k.solution_id = doc_id LEFT JOIN o ON o.solution_id = doc_id LEFT JOIN t ON t.solution_id = doc_id)"""
+  doc_id % 3 AS assumptions, doc_id % 2 AS constraints, components AS disclosure, greatest(0, last - 1) AS risks, doc_id % 3 AS next_steps, layered, disallowed, weak, tp.status AS technology_status
+  FROM g LEFT JOIN sa ON sa.solution_id = doc_id LEFT JOIN tp ON tp.solution = doc_id LEFT JOIN l1 ON l1.solution_id = doc_id LEFT JOIN l2 ON l2.solution_id = doc_id LEFT JOIN k ON k.solution_id = doc_id LEFT JOIN o ON o.solution_id = doc_id LEFT JOIN t ON t.solution_id = doc_id)"""
 _RULES_SQL = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS rule, '{g}' AS rule_group, '{s}' AS severity, {e} AS status FROM f" for c, g, s, e in rules(**WORDS))
 
 

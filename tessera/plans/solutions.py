@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import architecture as A
+from tessera.operators import ontology
 
 from .base import query, table
 
@@ -90,3 +91,19 @@ def task_trace(spark, sf):
     """VR-CNS-06: whether the words of the question come back in the answers."""
     components, _, sections = _tables(spark, sf)
     return A.task_trace(sections.where("section = 'user'"), components.where("layer = 'assistant'"), sections.where("section = 'assistant'"))
+
+
+#: Elements with their names, and what the sections allow, by words of the given texts.
+ALIASES = (("Limit", "only"), ("Limit", "none of"), ("Place", "entre"), ("Place", "to the"), ("Actor", "they"), ("Actor", "the"))
+ALLOWED = {"user": ("Actor", "Place"), "assistant": ("Actor", "Limit")}
+
+
+@query("""WITH p AS (SELECT conv_id AS s, role, text, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ' AS t FROM conversations),
+e AS (SELECT s, role, text, contains(t, ' only ') OR contains(t, ' none of ') AS lim, contains(t, ' entre ') OR contains(t, ' to the ') AS pla, contains(t, ' they ') OR contains(t, ' the ') AS act FROM p),
+r AS (SELECT s, CASE role WHEN 'user' THEN lim WHEN 'assistant' THEN pla ELSE false END AS bad, CASE role WHEN 'user' THEN act OR pla WHEN 'assistant' THEN act OR lim ELSE length(trim(text)) > 0 END AS fine FROM e)
+SELECT s AS solution_id, count(*) AS layered, count(*) FILTER (bad) AS disallowed, count(*) FILTER (NOT coalesce(fine, false)) AS weak FROM r GROUP BY s""".replace("\\\\", "\\"))
+def section_alignment(spark, sf):
+    """VR-NRM-02, 05, 06: sections with elements that they don't allow, and without any that they do."""
+    sections = _tables(spark, sf)[2]
+    allowed = spark.createDataFrame([(k, list(v)) for k, v in ALLOWED.items()], "section string, elements array<string>")
+    return ontology.alignment_counts(ontology.align(sections, allowed, ALIASES))
