@@ -98,11 +98,13 @@ def policy_index(policies: DataFrame, id_col: str = "policy", text_col: str = "t
     policy has one.
     """
     lines = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"[\n\r;]+"), lambda x: F.trim(x) != "")
-    rows = policies.select(F.col(id_col).alias("policy"), lines.alias("lines")).select("policy", "lines", F.posexplode_outer("lines").alias("at", "line")).fillna({"at": 0, "line": ""})
-    # a policy without lines has a blank one; the line before names the product where the forbidding line doesn't
-    rows = rows.select("policy", "at", "line", F.coalesce(F.get("lines", F.col("at") - 1), F.lit("")).alias("before"))
+    rows = policies.select(F.col(id_col).alias("policy"), lines.alias("lines")).select("policy", "lines", F.posexplode("lines").alias("at", "line"))
+    # the line before names the product where the forbidding line doesn't
     low = F.translate(F.lower("line"), "ё", "е")
-    rows = rows.withColumns({"low": low, "forbids": _any_of(low, FORBIDDING), "text": plain(F.col("line")), "earlier": plain(F.col("before"))})
+    rows = rows.select("policy", "line", F.coalesce(F.get("lines", F.col("at") - 1), F.lit("")).alias("before"), low.alias("low"))
+    # only lines that say something are parsed
+    rows = rows.withColumns({"forbids": _any_of(F.col("low"), FORBIDDING), "allows": _any_of(F.col("low"), ALLOWING)}).where("forbids or allows")
+    rows = rows.withColumns({"text": plain(F.col("line")), "earlier": plain(F.col("before"))})
     own, named = phrases(F.col("text")), products(F.col("text"))
     told = F.concat(F.when(F.size(own) > 0, own).otherwise(phrases(F.col("earlier"))), _near_marker(F.col("line"), F.col("low")))
     told = F.filter(told, lambda p: (p != "") & ~p.isin(*STOPWORDS))
@@ -113,7 +115,7 @@ def policy_index(policies: DataFrame, id_col: str = "policy", text_col: str = "t
         "policy",
         F.when(F.col("forbids"), told).otherwise(none(told)).alias("told"),
         F.when(F.col("forbids"), bound).otherwise(none(bound)).alias("bound"),
-        F.when(~F.col("forbids") & _any_of(F.col("low"), ALLOWING), allowed).otherwise(none(allowed)).alias("allowed"),
+        F.when(~F.col("forbids"), allowed).otherwise(none(allowed)).alias("allowed"),
     )
     gathered = kept.groupBy("policy").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("told", "bound", "allowed")])
 
@@ -123,7 +125,9 @@ def policy_index(policies: DataFrame, id_col: str = "policy", text_col: str = "t
         floor = F.get(F.filter(above, lambda v: v.isNotNull()), F.lit(0))
         return F.struct(phrase.alias("phrase"), F.when(floor.isNotNull(), F.concat(phrase, F.lit(" < "), floor)).otherwise(phrase).alias("hit"))
 
-    return gathered.select("policy", F.transform("told", hit).alias("forbidden"), F.col("bound").alias("below"))
+    said = gathered.select("policy", F.transform("told", hit).alias("forbidden"), F.col("bound").alias("below"))
+    empty = [F.coalesce(c, F.from_json(F.lit("[]"), said.schema[c].dataType.simpleString())).alias(c) for c in ("forbidden", "below")]
+    return policies.select(F.col(id_col).alias("policy")).distinct().join(said, "policy", "left").select("policy", *empty)
 
 
 def conflicts(solutions: DataFrame, policies: DataFrame, pairs: DataFrame) -> DataFrame:
