@@ -70,12 +70,19 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings(fragments: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(doc_id, term, tf, length)`` of the terms that a query has; fragments hold doc_id, title, content."""
+def postings(fragments: DataFrame, terms: DataFrame, ends: bool = False) -> DataFrame:
+    """``(doc_id, term, tf, length)`` of the terms that a query has; fragments hold doc_id, title, content.
+
+    ``ends`` adds a row of the empty term for every fragment, so that one pass over the
+    texts gives their number and lengths as well.
+    """
     tokens = fragments.select("doc_id", search_tokens(F.concat_ws(" ", "title", "content")).alias("t"))
-    long = tokens.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    asked = long.join(terms.select("term").distinct(), "term", "left_semi")
-    return asked.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    asked = terms.select("term").distinct()
+    said = F.col("t")
+    if ends:
+        said, asked = F.concat("t", F.array(F.lit(""))), asked.union(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    long = tokens.select("doc_id", F.size("t").alias("length"), F.explode(said).alias("term"))
+    return long.join(asked, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -85,10 +92,9 @@ def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0
     quarter of it.
     """
     terms = query_terms(queries)
-    posted = postings(fragments, terms)
-    lengths = fragments.select(F.size(search_tokens(F.concat_ws(" ", "title", "content"))).alias("length"))
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))
-    # one subquery for both numbers, so the texts are tokenised once for them
+    every = written(postings(fragments, terms, ends=True))
+    posted, texts = every.where("term <> ''"), every.where("term = ''")
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))
     both = size.select(F.struct("n", "avgdl")).scalar()
     n, avgdl = both["n"], both["avgdl"]
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
