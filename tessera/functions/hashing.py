@@ -4,8 +4,9 @@ A token stands for itself, its character 3-grams in order and, from five letters
 first and last five. The k-th of these adds 1 / k times the token's weight to the slot that
 the polynomial hash of its characters (base 131) names, with the sign of the parity of the
 sum of its characters. A running modulus can't be folded by column expressions at this
-volume, so it runs in Arrow batches: each batch's distinct tokens are cut and hashed once,
-as arrays of code points.
+volume, so it runs in Arrow batches: texts are counted one by one, and the distinct tokens
+of about ``BLOCK`` counts are cut and hashed at once, as arrays of code points. So memory is
+that of one block and one text, whatever a batch holds.
 
 Defined results: null texts and texts without tokens have a zero vector; texts are read
 whole; an empty column gives an empty column.
@@ -13,12 +14,20 @@ whole; an empty column gives an empty column.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-_TOKEN = r"[\w\-/\.]+"
+_TOKEN = re.compile(r"[\w\-/\.]+")
 BASE = 131
+#: Counted tokens that are cut, hashed and added at once: 32,768.
+BLOCK = 1 << 15
+#: Widths of the arrays of code points, which are as wide as their longest token; longer tokens are hashed one by one.
+WIDTHS = (0, 8, 16, 64)
 #: Words that count on an axis of their own: fixed values.
 AXES = (
     ("api", "openapi", "endpoint", "rest", "graphql"),
@@ -32,49 +41,69 @@ AXES = (
 AXIS_WEIGHT = 0.75
 
 
-def places(parts: pd.Series, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and sign of each string: Horner's rule down the columns of its code points."""
-    codes = np.array(parts.tolist() or [""], dtype=np.str_)
-    width = max(1, codes.dtype.itemsize // 4)
-    codes = codes.view(np.uint32).reshape(len(codes), width)[: len(parts)].astype(np.int64)
-    slot = np.zeros(len(parts), np.int64)
+def _horner(codes: np.ndarray, length: int) -> np.ndarray:
+    """The slot of each row of code points; zeros at its end don't count."""
+    slot = np.zeros(len(codes), np.int64)
     for column in codes.T:
         slot = np.where(column > 0, (slot * BASE + column) % length, slot)
-    return slot, np.where(codes.sum(axis=1) % 2 == 0, 1.0, -1.0)
-
-
-def parts_of(tokens: pd.Index) -> pd.DataFrame:
-    """``(token, part, k)``: what each token stands for, numbered from 1."""
-    of = pd.DataFrame({"token": tokens, "size": tokens.str.len()})
-    grams = of.loc[of["size"].clip(lower=2).sub(2).pipe(lambda n: of.index.repeat(n))]
-    at = grams.groupby(level=0).cumcount()
-    long = of[of["size"] >= 5]
-    found = pd.concat(
-        [
-            of.assign(part=of.token, k=1),
-            grams.assign(part=[t[a : a + 3] for t, a in zip(grams.token, at, strict=True)], k=at + 2),
-            long.assign(part=long.token.str[:5], k=long["size"]),
-            long.assign(part=long.token.str[-5:], k=long["size"] + 1),
-        ]
-    )
-    return found[["token", "part", "k"]]
+    return slot
+
+
+def stands_for(tokens: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(slots, shares, counts)``: what each token stands for, one token after the other."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    counts = 1 + np.maximum(sizes - 2, 0) + 2 * (sizes >= 5)
+    begins = counts.cumsum() - counts
+    slots, sums = np.empty(counts.sum(), np.int64), np.empty(counts.sum(), np.int64)
+    for low, high in zip(WIDTHS, WIDTHS[1:], strict=False):
+        at = np.flatnonzero((sizes > low) & (sizes <= high))
+        codes = np.array([tokens[k] for k in at], dtype=f"U{high}").view(np.uint32).reshape(len(at), high).astype(np.int64)
+        slots[begins[at]], sums[begins[at]] = _horner(codes, length), codes.sum(axis=1)
+        row, k = np.nonzero(np.arange(high - 2) < sizes[at, None] - 2)
+        grams = np.stack([codes[row, k + i] for i in range(3)], axis=1)
+        slots[begins[at][row] + 1 + k], sums[begins[at][row] + 1 + k] = _horner(grams, length), grams.sum(axis=1)
+        row = np.flatnonzero(sizes[at] >= 5)
+        for nth, start in enumerate((np.zeros(len(row), np.int64), sizes[at][row] - 5)):
+            ends = codes[row[:, None], start[:, None] + np.arange(5)]
+            place = begins[at][row] + sizes[at][row] - 1 + nth
+            slots[place], sums[place] = _horner(ends, length), ends.sum(axis=1)
+    for t in np.flatnonzero(sizes > WIDTHS[-1]):
+        token = tokens[t]
+        for k, part in enumerate(chain([token], (token[a : a + 3] for a in range(len(token) - 2)), [token[:5], token[-5:]])):
+            slot = 0
+            for c in map(ord, part):
+                slot = (slot * BASE + c) % length
+            slots[begins[t] + k], sums[begins[t] + k] = slot, sum(map(ord, part))
+    nth = np.arange(len(slots)) - np.repeat(begins, counts) + 1
+    return slots, np.where(sums % 2 == 0, 1.0, -1.0) / nth, counts
 
 
 def embeddings(texts: pd.Series, length: int) -> np.ndarray:
     """A unit vector of each whole text."""
-    out = np.zeros((len(texts), length))
-    words = texts.fillna("").str.findall(_TOKEN).reset_index(drop=True).explode().dropna().str.lower()
-    if len(words):
-        uses = words.groupby([words.index, words]).size().rename_axis(["row", "token"]).reset_index(name="n")
-        uses["weight"] = 0.5 + 0.5 * uses.n / uses.groupby("row").n.transform("max")
-        stands = parts_of(pd.Index(uses.token.unique()))
-        stands["slot"], sign = places(stands.part, length)
-        stands["share"] = sign / stands.k
-        met = uses.merge(stands, on="token")
-        np.add.at(out, (met.row.to_numpy(), met.slot.to_numpy()), (met.weight * met.share).to_numpy())
-        for axis, lexicon in enumerate(AXES[:length]):
-            mine = uses.row[uses.token.isin(lexicon)]
-            np.add.at(out, (mine.to_numpy(), axis), AXIS_WEIGHT)
+    out, held, on_axis = np.zeros((len(texts), length)), [], []
+    number: dict[str, int] = {}
+
+    def add() -> None:
+        slots, shares, counts = stands_for(list(number), length)
+        row, token, weight = (np.array(x) for x in zip(*held, strict=True))
+        n, begins = counts[token], counts.cumsum() - counts
+        at = np.repeat(begins[token] - (n.cumsum() - n), n) + np.arange(n.sum())
+        np.add.at(out.reshape(-1), np.repeat(row * length, n) + slots[at], np.repeat(weight, n) * shares[at])
+        held.clear()
+        number.clear()
+
+    for row, text in enumerate(texts.fillna("")):
+        uses = Counter(map(str.lower, (m.group() for m in _TOKEN.finditer(text))))
+        most = max(uses.values(), default=1)
+        for token in sorted(uses):
+            held.append((row, number.setdefault(token, len(number)), 0.5 + 0.5 * uses[token] / most))
+            if len(held) >= BLOCK:
+                add()
+        on_axis += [(row, axis) for axis, lexicon in enumerate(AXES[:length]) for word in lexicon if word in uses]
+    if held:
+        add()
+    for row, axis in on_axis:
+        out[row, axis] += AXIS_WEIGHT
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -131,3 +132,15 @@ def test_budget_column(spark):
     sizes = [[30, 40, 20, 10], [], [61, 60]]
     rows = spark.createDataFrame([(s,) for s in sizes], "s array<bigint>").select(chunks.within_budget(F.col("s"), 60)).collect()
     assert [[k for k, f in enumerate(r[0]) if f] for r in rows] == [C.budgeted(s, 60) for s in sizes]
+
+
+def test_hash_embedding_memory_is_of_one_block():
+    # every word is another one, as in tables of much junk
+    texts = pd.Series([" ".join(f"w{i}x{k}" for k in range(200)) + " " + "long" * 40 for i in range(400)])
+    alone = embeddings(texts[-3:], 16)
+    tracemalloc.start()
+    got = embeddings(texts, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20, peak
+    assert np.array_equal(got[-3:], alone) and np.allclose(got[7], plain_embedding(texts[7], 16), atol=1e-12)
