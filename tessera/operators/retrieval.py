@@ -167,13 +167,13 @@ def diverse(scored: DataFrame, per_document: int, limit: int, score: str = "scor
     return ranked(capped, score, limit, id_col=id_col)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "vec_id", query_block: int = 1024, vector_block: int = 65_536) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "vec_id", query_block: int = 2048, vector_block: int = 16_384, tile: int = 1 << 20) -> DataFrame:
     """Exact vector search for many queries: ``(query_id, id, rank, score)`` of the ``limit`` best of each.
 
     ``vectors`` hold ``id_col`` and ``embedding``, ``queries`` hold query_id and embedding.
     The score is max(0, cosine) at 8 places, ties go by id; null and zero vectors, and those of
-    another length than the query, have score 0. Both sides are dealt in blocks; a task holds one block of each and
-    keeps the best of its block per query, so what is shuffled last is in proportion to
+    another length than the query, have score 0. Both sides are dealt in blocks; a task holds one block of each,
+    scores ``tile`` pairs at once and keeps the best of its block per query, so what is shuffled last is in proportion to
     queries and vector blocks, not to pairs.
     """
     as_double = F.col("embedding").cast("array<double>")
@@ -192,14 +192,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "v
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
+    def top(asked: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``asked``, rows of ``known`` and scores of the best, ties by the row of ``known``."""
+        row, col, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(asked), -1.0)  # what a later vector must exceed
+        step = max(limit, tile // max(1, len(asked)))
+        for start in range(0, len(known), step):
+            scores = np.round(np.maximum(0.0, asked @ known[start : start + step].T), 8)
+            good = scores > least[:, None]
+            if scores.shape[1] > limit:
+                good &= scores >= np.partition(scores, -limit, axis=1)[:, -limit, None]
+            r, c = np.nonzero(good)
+            row, col, score = np.concatenate([row, r]), np.concatenate([col, c + start]), np.concatenate([score, scores[r, c]])
+            order = np.lexsort((col, -score, row))
+            row, col, score = row[order], col[order], score[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col, score, nth = (x[nth < limit] for x in (row, col, score, nth))
+            least[row[nth == limit - 1]] = score[nth == limit - 1]
+        return row, col, score
+
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": left.query_id[:0], "id": right.id[:0], "score": np.zeros(0)})
         right = right.sort_values("id", ignore_index=True)
         length = max((len(x) for x in left.embedding if x is not None), default=0)
-        scores = np.round(np.maximum(0.0, units(left.embedding, length) @ units(right.embedding, length).T), 8)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
-        return pd.DataFrame({"query_id": np.repeat(left.query_id.to_numpy(), order.shape[1]), "id": right.id.to_numpy()[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()})
+        known, parts = units(right.embedding, length), []
+        for start in range(0, len(left), 256):
+            row, col, score = top(units(left.embedding[start : start + 256], length), known)
+            parts.append(pd.DataFrame({"query_id": left.query_id.to_numpy()[start + row], "id": right.id.to_numpy()[col], "score": score}))
+        return pd.concat(parts)
 
     kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double"
     found = q.groupBy("a", "b").cogroup(v.groupBy("a", "b")).applyInPandas(best, kinds)

@@ -144,3 +144,20 @@ def test_hash_embedding_memory_is_of_one_block():
     tracemalloc.stop()
     assert peak < 80 << 20, peak
     assert np.array_equal(got[-3:], alone) and np.allclose(got[7], plain_embedding(texts[7], 16), atol=1e-12)
+
+
+def test_nearest_in_tiles_equals_all_pairs(spark):
+    g = np.random.default_rng(3)
+    known = np.round(g.normal(size=(500, 4)), 1)
+    known[100:200] = known[:100]  # ties
+    known[7] = 0
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(known)], "vec_id bigint, embedding array<double>")
+    asked = frame.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in retrieval.nearest(frame, asked, 9, query_block=8, vector_block=150, tile=128).collect()}
+    norms = np.linalg.norm(known, axis=1, keepdims=True)
+    unit = np.divide(known, norms, out=np.zeros_like(known), where=norms > 0)
+    want = {}
+    for q in range(0, 500, 20):
+        scores = np.round(np.maximum(0.0, unit @ unit[q]), 8)
+        want |= {(q, n + 1): int(i) for n, i in enumerate(np.lexsort((np.arange(500), -scores))[:9])}
+    assert got == want
