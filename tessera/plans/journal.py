@@ -113,8 +113,8 @@ def status_fold(spark, sf):
     return _checks(spark, sf).groupBy("protocol").agg(O.precedence(F.col("status"), ("not_determined", "failed", "warning", "passed")).alias("status"))
 
 
-@query(f"""WITH {_CHECKS}, w AS (SELECT protocol, CASE severity WHEN 'info' THEN 1 WHEN 'minor' THEN 2 WHEN 'major' THEN 4 WHEN 'critical' THEN 6 ELSE 3 END::DOUBLE AS w, CASE status WHEN 'passed' THEN 1 WHEN 'warning' THEN 0.55 ELSE 0 END::DOUBLE AS m FROM c)
-SELECT protocol, round_even(greatest(0, least(100, 100 * sum(w * m) / sum(w))), 0) AS score FROM w GROUP BY ALL""")
+@query(f"""WITH {_CHECKS}, w AS (SELECT protocol, CASE severity WHEN 'info' THEN 1 WHEN 'minor' THEN 2 WHEN 'major' THEN 4 WHEN 'critical' THEN 6 ELSE 3 END AS w, CASE status WHEN 'passed' THEN 100 WHEN 'warning' THEN 55 ELSE 0 END AS m FROM c)
+SELECT protocol, round_even(greatest(0, least(100, sum(w * m)::DOUBLE / sum(w)::DOUBLE)), 0) AS score FROM w GROUP BY ALL""")
 def weighted_score(spark, sf):
     """D24."""
     return _checks(spark, sf).groupBy("protocol").agg(O.weighted_score(F.col("severity"), F.col("status")).alias("score"))
