@@ -7,6 +7,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import functions as F
 
+from tessera import registry
 from tessera.operators import relational as O
 
 WEIGHTS = {"info": 1, "minor": 2, "major": 4, "critical": 6, "other": 3}
@@ -21,3 +22,12 @@ def test_weighted_score_is_exact_at_ties(spark):
     got = {r.protocol: r.score for r in frame.groupBy("protocol").agg(O.weighted_score(F.col("severity"), F.col("status")).alias("score")).collect()}
     want = {k: float(round(100 * sum(WEIGHTS[s] * SHARES[t] for s, t in c) / sum(WEIGHTS[s] for s, _ in c))) for k, c in enumerate(every)}
     assert got == want
+
+
+def test_source_snapshot_nests_all_documents_of_a_source(spark, tmp_path):
+    spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(0, 5000, 7)], "doc_id bigint, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1), (14, 0), (21, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.source: r for r in registry.queries()["source_snapshot"](spark, str(tmp_path)).collect()}
+    ids = {None: list(range(0, 5000, 21)), "a": [i for i in range(0, 5000, 7) if i % 3]}
+    assert {k: r.doc_ids for k, r in got.items()} == ids
+    assert {k: (r.documents, r.processed) for k, r in got.items()} == {None: (len(ids[None]), 1), "a": (len(ids["a"]), 2)}
