@@ -85,3 +85,16 @@ def test_empty_tables(spark):
     c, i, s = [spark.createDataFrame([], kinds) for kinds in (COMPONENTS, INTEGRATIONS, SECTIONS)]
     t = spark.createDataFrame([], "solution_id int, text string")
     assert A.layer_links(c, i, s, "b", "t", ("uses",)).count() == A.consistency(c, i, s, t).count() == A.section_order(s, ("a",)).count() == A.task_trace(t, c, s).count() == 0
+
+
+def test_relations_shuffle_a_fragment_once(spark, monkeypatch):
+    layers = spark.createDataFrame([(1, f"l{k:02}x", "b") for k in range(9)] + [(1, f"r{k:02}x", "t") for k in range(9)] + [(2, "only", "b"), (2, " R00X ", "t"), (2, None, "t"), (2, "", "b")], "solution_id int, name string, layer string")
+    said = [(1, "it uses l00x and r08x"), (1, "uses l01x"), (2, "uses r00x? only uses it"), (3, "uses l00x and r00x"), (2, None)]
+    sections = spark.createDataFrame(said, "solution_id int, text string")
+    for names in (512, 2):  # one block of names, and several
+        monkeypatch.setattr(A, "NAMES", names)
+        found = A._relations(layers, sections, ("uses",), "b", "t", "solution_id")
+        assert {r.solution_id for r in found.collect()} == {1}
+    # no row for each place of a fragment
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in text
