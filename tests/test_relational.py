@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import registry
 from tessera.operators import relational as O
+from tessera.plans import rulebook
 
 WEIGHTS = {"info": 1, "minor": 2, "major": 4, "critical": 6, "other": 3}
 SHARES = {"passed": Fraction(1), "warning": Fraction(55, 100), "failed": Fraction(0)}
@@ -31,3 +32,11 @@ def test_source_snapshot_nests_all_documents_of_a_source(spark, tmp_path):
     ids = {None: list(range(0, 5000, 21)), "a": [i for i in range(0, 5000, 7) if i % 3]}
     assert {k: r.doc_ids for k, r in got.items()} == ids
     assert {k: (r.documents, r.processed) for k, r in got.items()} == {None: (len(ids[None]), 1), "a": (len(ids["a"]), 2)}
+
+
+def test_rulebook_is_one_small_plan(spark, sf):
+    found = rulebook.facts(spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the parts are made before, and meet without a join
+    assert "Join" not in plan and len(plan) < 30_000
+    assert found.count() == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
