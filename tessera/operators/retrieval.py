@@ -23,6 +23,10 @@ from tessera.functions.vectors import cosine
 from .shared import written
 
 
+#: Rows of postings and queries that a task of BM25 sums: about 2 million.
+MET = 1 << 21
+
+
 @dataclass(frozen=True)
 class Policy:
     """Weights and limits of a ranking; the values are fixed."""
@@ -82,7 +86,9 @@ def postings(fragments: DataFrame, terms: DataFrame, ends: bool = False) -> Data
     if ends:
         said, asked = F.concat("t", F.array(F.lit(""))), asked.union(terms.sparkSession.range(1).select(F.lit("").alias("term")))
     long = tokens.select("doc_id", F.size("t").alias("length"), F.explode(said).alias("term"))
-    return long.join(asked, "term", "left_semi").groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    # dealt before they are counted: a file's part may hold any number of texts, and counting there holds all its terms
+    dealt = long.join(asked, "term", "left_semi").repartition("doc_id")
+    return dealt.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -91,7 +97,7 @@ def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0
     ``overlap`` is the share of the query's distinct terms, ``lexical`` is BM25 and a
     quarter of it.
     """
-    terms = query_terms(queries)
+    terms = written(query_terms(queries))
     every = written(postings(fragments, terms, ends=True))
     posted, texts = every.where("term <> ''"), every.where("term = ''")
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))
@@ -100,7 +106,10 @@ def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avgdl))
-    met = posted.join(df, "term").withColumn("w", weight).join(terms, "term")
+    asked = terms.groupBy("term").agg(F.count(F.lit(1)).alias("queries"))
+    # what a query meets is dealt by fragment, in tasks of about ``MET`` rows: it grows with queries times fragments
+    rows = df.join(asked, "term").agg(F.coalesce(F.sum(F.col("df") * F.col("queries")), F.lit(0)).alias("n")).first()["n"]
+    met = posted.join(df, "term").select("doc_id", "term", weight.alias("w")).repartition(max(1, -(-rows // MET)), "doc_id").join(terms, "term")
     distinct = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("q"))
     scored = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("bm25"), F.count(F.lit(1)).alias("shared"))
     overlap = F.col("shared") / F.col("q")

@@ -161,3 +161,14 @@ def test_nearest_in_tiles_equals_all_pairs(spark):
         scores = np.round(np.maximum(0.0, unit @ unit[q]), 8)
         want |= {(q, n + 1): int(i) for n, i in enumerate(np.lexsort((np.arange(500), -scores))[:9])}
     assert got == want
+
+
+def test_bm25_counts_after_dealing_and_in_bounded_tasks(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "", f"red {'blue ' * (i % 4)} w{i % 7}") for i in range(60)], "doc_id bigint, title string, content string")
+    asked = spark.createDataFrame([(1, "red blue w3"), (2, "blue blue w5 none"), (3, "")], "query_id bigint, query_text string")
+    posted = retrieval.postings(texts, retrieval.query_terms(asked))
+    assert "keys=[doc_id" not in posted._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_COL")[-1]
+    want = sorted(map(tuple, retrieval.bm25(texts, asked).collect()))
+    monkeypatch.setattr(retrieval, "MET", 16)
+    scores = retrieval.bm25(texts, asked)
+    assert sorted(map(tuple, scores.collect())) == want and len(want) > 100
