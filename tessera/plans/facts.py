@@ -286,7 +286,7 @@ def argmax_match(spark, sf):
 @query()
 def chunk_importance(spark, sf):
     """How much each document's paragraphs say."""
-    rows = table(spark, sf, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("title"), F.split("text", "\n").alias("c")).select("doc_id", "title", F.size("c").alias("total"), F.posexplode("c").alias("chunk", "content"))
+    rows = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("c")).select("doc_id", F.element_at("c", 1).alias("title"), F.size("c").alias("total"), F.posexplode("c").alias("chunk", "content"))
     rows = E.with_sentences(rows, F.col("content"), CATALOGUE, 12)
     score = E.importance(F.col("sentences"), F.col("content"), F.col("title"), F.lit("section"), F.col("chunk"), F.col("total"), CATALOGUE)
     return rows.select("doc_id", "chunk", F.round(score, 6).alias("importance"))

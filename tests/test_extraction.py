@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -145,3 +146,23 @@ def test_marker_tree_equals_the_longest_marker_at_each_place(one):
                 found.append(best[1])
             at += len(best[1]) if best else 1
         assert one(E.markers(F.col("t"), {"c": (whole, opened)}, "c"), t=text) == list(dict.fromkeys(found)), (whole, opened, text)
+
+
+def test_relations_are_sought_near_connectors_only(spark):
+    """The first relation is the one of the whole pattern, and a far connector doesn't hide it."""
+    rng = random.Random(5)
+    words = ["Order service", "to", "TO", "->", "→", "—", "tomorrow", "auto", "a" * 90, "x1", "😀", "To", "é", ".", "  ", "\t", "data store", "-", "(", "b-c/d"]
+    said = [rng.choice(["", " "]).join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    said += ["", "to", "a to b", "aa to bb", "( to b) Alpha Beta to Gamma Delta", "x" * 79 + " -> yy", "x" * 200 + " -> yy", "x" * 80 + "   " + " -> yy"]
+    rows = spark.createDataFrame([(s,) for s in said], "s string")
+    got = rows.select("s", E.has_relation(F.col("s")).alias("some"), F.regexp_extract(E._near_connector(F.col("s")), E.RELATION, 0).alias("got"), F.regexp_extract("s", E.RELATION, 0).alias("want")).collect()
+    assert all(r.got == r.want and r.some == (r.want != "") for r in got) and 100 < sum(r.some for r in got) < len(said)
+
+
+def test_sentences_are_made_once(spark):
+    """No filter before the explode repeats the expression of all sentences."""
+    docs = spark.createDataFrame([(1, "Alpha service must not fail. Alpha sends to Beta store."), (2, ""), (3, None)], "doc_id int, text string")
+    items = E.typed_items(docs, {"rule": (("must",), ())}, F.lit(False))
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("transform(" in line for line in plan.splitlines()) == 1 and "Filter" in plan
+    assert {(r.doc_id, r.item_type) for r in items.collect()} == {(1, "mandatory_requirement"), (1, "entity_relation")}
