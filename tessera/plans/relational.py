@@ -232,7 +232,7 @@ def token_overlap(spark, sf):
     words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("w")
     a = table(spark, sf, "part").select("p_partkey", words(F.concat_ws(" ", "p_name", "p_type")))
     c = table(spark, sf, "part").select("p_brand", words(F.col("p_type"))).distinct()
-    return a.where(F.char_length("w") >= 4).join(c, "w").groupBy("p_partkey", "p_brand").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    return O.shared_tokens(a.where(F.char_length("w") >= 4), c, "p_partkey", "p_brand", "w").where("shared >= 2")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")

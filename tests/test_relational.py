@@ -40,3 +40,14 @@ def test_rulebook_is_one_small_plan(spark, sf):
     # the parts are made before, and meet without a join
     assert "Join" not in plan and len(plan) < 30_000
     assert found.count() == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
+
+
+def test_shared_tokens_grow_in_tasks(spark):
+    rows = [(k, w) for k in range(40) for w in ("ab", "cd", "ef")[: 1 + k % 3]]
+    brands = [(b, w) for b in "xyz" for w in ("ab", "ef", "gh")]
+    left, right = spark.createDataFrame(rows, "k int, w string"), spark.createDataFrame(brands, "b string, w string")
+    found = O.shared_tokens(left, right, "k", "b", "w", most=20)
+    want = {(k, b): sum(w in ("ab", "ef") for j, w in rows if j == k) for k in range(40) for b in "xyz"}
+    assert {(r.k, r.b): r.shared for r in found.collect()} == want
+    # 159 rows meet: eight tasks, in which each key lies whole
+    assert found.rdd.getNumPartitions() == 8
