@@ -33,8 +33,10 @@ def read_back_sections(spark, sf):
     Of a document's lines each fourth is a heading over the next three.
     """
     ls = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, _NONE, ""), f"{_SPACE}+", " "))), lambda x: x != "")
-    docs = table(spark, sf, "documents").select("doc_id", ls.alias("ls")).where("size(ls) > 0")
-    parts = docs.select("doc_id", "ls", F.explode(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 4).cast("int"))).alias("number"))
+    docs = table(spark, sf, "documents").select("doc_id", ls.alias("ls"))
+    # the first number of each heading; none without lines: a filter on their number would make all lines twice
+    firsts = F.when(F.size("ls") > 0, F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 4).cast("int")))
+    parts = docs.select("doc_id", "ls", F.explode(firsts).alias("number"))
     parts = parts.select(F.col("doc_id").alias("path"), "number", F.get("ls", 4 * F.col("number")).alias("heading"), (1 + F.col("number") % 3).alias("level"), F.array_join(F.slice("ls", 4 * F.col("number") + 2, 3), "\n").alias("content"))
     register(spark)
     folder, found = shared_path(spark), None

@@ -178,3 +178,15 @@ def test_writer_refuses(spark, tmp_path):
         export.SectionWriter(f"file://{tmp_path}", "pdf", ["path"], False)
     with pytest.raises(ValueError, match="missing"):
         export.SectionWriter(f"file://{tmp_path}", "docx", ["path"], False)
+
+
+def test_small_files_are_dealt_and_leave_in_large_batches(tmp_path):
+    """Files of any size make tasks of bounded work, and their rows leave in few batches."""
+    for n in range(1200):
+        (tmp_path / f"{n}.txt").write_text(f"text number {n}")
+    reader = s._Reader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) == 3 and sum(len(p.files) for p in parts) == 1200
+    batches = [list(reader.read(p)) for p in parts]
+    assert [len(b) for b in batches] == [1, 1, 1]
+    assert {r["content"] for b in batches for r in b[0].to_pylist()} == {f"text number {n}" for n in range(1200)}
