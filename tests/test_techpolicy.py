@@ -39,3 +39,26 @@ def test_pairs_once_and_empty(spark, got):
     assert len(got) == len(CASES)
     none = spark.createDataFrame([], "solution int, policy int, text string")
     assert P.conflicts(none, none, none).count() == 0 == P.policy_index(none).count()
+
+
+def test_lines_are_parsed_once_and_for_pairs_only(spark):
+    policies = spark.createDataFrame([(k, p) for k, (_, p, *_) in enumerate(CASES)], "policy int, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # no filter repeats the making of lines
+    assert not any("Filter" in x and "[\\n\\r;]" in x for x in plan(P.policy_index(policies)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = policies.select("policy", "text")
+    parsed = P.policy_index
+    try:
+        P.policy_index = lambda p: parsed(p.mapInArrow(count, p.schema))
+        solutions = spark.createDataFrame([(0, CASES[0][0])], "solution int, text string")
+        assert [r.policy for r in P.conflicts(solutions, counted, spark.createDataFrame([(0, 1)], "solution int, policy int")).collect()] == [1]
+    finally:
+        P.policy_index = parsed
+    assert seen.value < len(CASES)
