@@ -47,9 +47,21 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The caches of this Python worker that hold entries.
+_held: list[Cache] = []
+
+
+def hold(*caches: Cache) -> None:
+    """A task begins with these caches: those of other steps, which ran in this worker before, are emptied."""
+    for other in [c for c in _held if not any(c is mine for mine in caches)]:
+        other.clear()
+        other.old = {}
+    _held[:] = caches
+
+
 class Cache(dict):
     """Values made on demand; when full, the entries become the old generation and
-    come back only as they are used again."""
+    come back only as they are used again. Workers outlive tasks: see :func:`hold`."""
 
     def __init__(self, make):
         super().__init__()
@@ -150,6 +162,7 @@ def loaded(path: str) -> ByteBPE:
     """The tokenizer, read once per Python worker."""
     if path not in _loaded:
         _loaded[path] = ByteBPE(path)
+    hold(_loaded[path].word_cache, _loaded[path].piece_cache)
     return _loaded[path]
 
 

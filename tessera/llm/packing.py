@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import AMBIGUOUS_SPACE, PATTERN, Cache, byte_symbols
+from .bpe import AMBIGUOUS_SPACE, PATTERN, Cache, byte_symbols, hold
 from .common import materialized, only
 
 #: Ids in a group, about, and groups in a task.
@@ -77,6 +77,7 @@ _loaded: dict[str, Tokens] = {}
 def _tokens(path: str) -> Tokens:
     if path not in _loaded:
         _loaded[path] = Tokens(path)
+    hold(_loaded[path].pieces)
     return _loaded[path]
 
 

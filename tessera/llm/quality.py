@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Cache
+from .bpe import Cache, hold
 from .common import materialized, only
 
 FEATURES = ("symbols", "repeats", "letters", "length", "words")
@@ -65,6 +65,12 @@ _RUN = re.compile(r"(.)\1+", re.S)
 _shapes = Cache(lambda signs: crc32(b"s" + _RUN.sub(r"\1", signs).encode()) % SLOTS)
 
 
+
+def _begin() -> None:
+    """A task's caches; a function, as a task's own functions would take the cache along as a value."""
+    hold(_shapes)
+
+
 def slots(word: str) -> tuple[int, int, int]:
     """The slots of a word, its shape (with runs of one sign as one) and its last 3 characters."""
     return crc32(word.encode()) % SLOTS, _shapes[word.translate(_SIGNS)], crc32(b"e" + word[-3:].encode()) % SLOTS
@@ -107,6 +113,7 @@ def learn_words(docs: DataFrame, known: DataFrame, sample: int, id_col: str, tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SLOTS + 1), np.int64)
+        _begin()
         for batch in batches:
             for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
                 found = sorted({k for w in set((text or "").split()) for k in slots(w)})
@@ -131,6 +138,7 @@ def _marked(docs: DataFrame, worth: np.ndarray | None, id_col: str, text_col: st
     table = None if worth is None else array("f", worth.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         for batch in batches:
             found = list(zip(*(features(t, table) for t in batch.column("text").to_pylist()), strict=True)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k", "host", "path")), *(pa.array(f, pa.int32()) for f in found)], ["id", "k", "host", "path", *FEATURES])

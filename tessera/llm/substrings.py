@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Cache
+from .bpe import Cache, hold
 from .common import materialized, only
 
 #: Odd multipliers of the rolling sums, modulo 2**64.
@@ -104,6 +104,7 @@ _made: list[Windows] = []
 def windows() -> Windows:
     if not _made:
         _made.append(Windows())
+    hold(_made[0].hashes)
     return _made[0]
 
 
