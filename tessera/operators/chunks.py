@@ -5,19 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking
 
 
+#: Bytes of texts that are cut at once; a longer text is cut alone.
+BLOCK = 1 << 20
+
+
+def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of texts of about ``most`` bytes: a batch may hold any number of them."""
+    start, held = 0, 0
+    for row, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if row > start and held + n > most:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind_col: str | None = None, **options) -> DataFrame:
     """``(id, number, title, content, location, tokens)``: the chunks of every text where it lies."""
     kind = F.col(kind_col) if kind_col else F.lit("other")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), kind.alias("kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, "text")):
             found = [chunking.chunk(t, k, **options) for t, k in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True)]
             at = pa.array([r for r, parts in enumerate(found) for _ in parts], pa.int64())
             flat = [c for parts in found for c in parts]

@@ -172,3 +172,15 @@ def test_bm25_counts_after_dealing_and_in_bounded_tasks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "MET", 16)
     scores = retrieval.bm25(texts, asked)
     assert sorted(map(tuple, scores.collect())) == want and len(want) > 100
+
+
+def test_chunks_are_made_in_blocks_of_texts():
+    import pyarrow as pa
+
+    from tessera.operators import chunks as C
+
+    texts = ["a" * 600, None, "", "b" * 600, "c" * 5000, "d" * 10, "e" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [p.column("text").to_pylist() for p in C.blocks(batch, "text", 1000)]
+    assert parts == [["a" * 600, None, ""], ["b" * 600], ["c" * 5000], ["d" * 10, "e" * 10]]
+    assert not list(C.blocks(batch.slice(0, 0), "text"))
