@@ -7,12 +7,14 @@ Ties are broken by id.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ from .shared import written
 
 #: Rows of postings and queries that a task of BM25 sums: about 2 million.
 MET = 1 << 21
+#: Characters of the texts whose postings a task counts: about 8 million, a million tokens.
+CHARS = 1 << 23
+#: Scores that a task looks at together when it keeps the best.
+SCORES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -74,11 +80,12 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings(fragments: DataFrame, terms: DataFrame, ends: bool = False) -> DataFrame:
+def postings(fragments: DataFrame, terms: DataFrame, ends: bool = False, tasks: int | None = None) -> DataFrame:
     """``(doc_id, term, tf, length)`` of the terms that a query has; fragments hold doc_id, title, content.
 
     ``ends`` adds a row of the empty term for every fragment, so that one pass over the
-    texts gives their number and lengths as well.
+    texts gives their number and lengths as well. ``tasks`` is in how many they are counted,
+    by default as Spark deals them.
     """
     tokens = fragments.select("doc_id", search_tokens(F.concat_ws(" ", "title", "content")).alias("t"))
     asked = terms.select("term").distinct()
@@ -87,18 +94,17 @@ def postings(fragments: DataFrame, terms: DataFrame, ends: bool = False) -> Data
         said, asked = F.concat("t", F.array(F.lit(""))), asked.union(terms.sparkSession.range(1).select(F.lit("").alias("term")))
     long = tokens.select("doc_id", F.size("t").alias("length"), F.explode(said).alias("term"))
     # dealt before they are counted: a file's part may hold any number of texts, and counting there holds all its terms
-    dealt = long.join(asked, "term", "left_semi").repartition("doc_id")
+    said = long.join(asked, "term", "left_semi")
+    dealt = said.repartition(tasks, "doc_id") if tasks else said.repartition("doc_id")
     return dealt.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``(query_id, doc_id, bm25, overlap, lexical)`` of the fragments that share a term with a query.
-
-    ``overlap`` is the share of the query's distinct terms, ``lexical`` is BM25 and a
-    quarter of it.
-    """
+def weights(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame, int]:
+    """``(doc_id, term, w)``, what a term adds to BM25; the queries' terms; and how many rows both have joined."""
     terms = written(query_terms(queries))
-    every = written(postings(fragments, terms, ends=True))
+    # a row of the shuffle takes few bytes, so tasks are cut by characters: dealt by bytes, one would count millions of rows
+    chars = fragments.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "title", "content"))), F.lit(0)).alias("n")).first()["n"]
+    every = written(postings(fragments, terms, ends=True, tasks=max(1, -(-chars // CHARS))))
     posted, texts = every.where("term <> ''"), every.where("term = ''")
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))
     both = size.select(F.struct("n", "avgdl")).scalar()
@@ -107,9 +113,12 @@ def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avgdl))
     asked = terms.groupBy("term").agg(F.count(F.lit(1)).alias("queries"))
-    # what a query meets is dealt by fragment, in tasks of about ``MET`` rows: it grows with queries times fragments
     rows = df.join(asked, "term").agg(F.coalesce(F.sum(F.col("df") * F.col("queries")), F.lit(0)).alias("n")).first()["n"]
-    met = posted.join(df, "term").select("doc_id", "term", weight.alias("w")).repartition(max(1, -(-rows // MET)), "doc_id").join(terms, "term")
+    return posted.join(df, "term").select("doc_id", "term", weight.alias("w")), terms, rows
+
+
+def summed(met: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, bm25, overlap, lexical)`` of ``(query_id, doc_id, w, times)``."""
     distinct = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("q"))
     scored = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("bm25"), F.count(F.lit(1)).alias("shared"))
     overlap = F.col("shared") / F.col("q")
@@ -118,6 +127,50 @@ def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0
     )
 
 
+def scores_of(weighed: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
+    """``summed`` of all that the queries meet."""
+    # dealt by fragment, in tasks of about ``MET`` rows: what queries meet grows with queries times fragments
+    return summed(weighed.repartition(max(1, -(-rows // MET)), "doc_id").join(terms, "term"), terms)
+
+
+def bm25(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``(query_id, doc_id, bm25, overlap, lexical)`` of the fragments that share a term with a query.
+
+    ``overlap`` is the share of the query's distinct terms, ``lexical`` is BM25 and a
+    quarter of it.
+    """
+    return scores_of(*weights(fragments, queries, k1, b))
+
+
+def leading(scores: DataFrame, limits: Mapping[str, int], id_col: str = "doc_id") -> DataFrame:
+    """Each task's rows that are in their query among the best of it by one of the columns: all that ``ranked`` can keep.
+
+    A task holds ``SCORES`` rows and its best so far, and neither sorts nor hands on all it has.
+    """
+
+    def lead(rows: pa.Table) -> pa.Table:
+        query, good = rows["query_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(), np.zeros(len(rows), bool)
+        rows_by = rows.append_column("__query", pa.array(query))
+        for column, limit in limits.items():
+            order = pc.sort_indices(rows_by, sort_keys=[("__query", "ascending"), (column, "descending"), (id_col, "ascending")], null_placement="at_start").to_numpy()
+            nth = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+            good[order[nth < limit]] = True
+        return rows.filter(pa.array(good))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, kept = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= max(SCORES, kept):
+                best = lead(pa.Table.from_batches(held))
+                held, n, kept = best.to_batches(), 0, len(best)
+        if held:
+            yield from lead(pa.Table.from_batches(held)).to_batches()
+
+    return scores.mapInArrow(run, scores.schema)
+
+
 def ranked(scores: DataFrame, score: str, limit: int, by: Sequence[str] = ("query_id",), id_col: str = "doc_id") -> DataFrame:
     """The ``limit`` best of each query with their ``rank``; Spark prunes per partition before the shuffle."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(id_col))
@@ -261,11 +314,14 @@ def fused(fragments: DataFrame, queries: DataFrame, p: Policy = GENERATION, vect
     embed = hash_embedding(64)
     vectors = written(fragments.select("doc_id", embed(F.concat_ws(" ", "title", "content")).alias("embedding")) if vectors is None else vectors)
     query_vectors = written(queries.select("query_id", embed(F.col("query_text")).alias("embedding")) if query_vectors is None else query_vectors)
-    scores = written(bm25(fragments, queries))
+    weighed, terms, met = weights(fragments, queries)
+    scores = written(leading(scores_of(weighed, terms, met), {"lexical": p.keyword_candidates, "overlap": p.keyword_candidates}))
     near = nearest(vectors, query_vectors, p.vector_candidates, "doc_id")
     lists = [near, ranked(scores, "lexical", p.keyword_candidates), ranked(scores, "overlap", p.keyword_candidates)]
-    best = ranked(fuse(lists, p.rrf_k), "fusion", p.fused_candidates)
-    rows = best.join(scores, ["query_id", "doc_id"], "left").join(vectors, "doc_id").join(query_vectors.withColumnRenamed("embedding", "asked"), "query_id")
+    best = written(ranked(fuse(lists, p.rrf_k), "fusion", p.fused_candidates))
+    # the few that are left are scored again: those of the vector list have scores that lead nowhere
+    own = summed(weighed.join(best.select("query_id", "doc_id"), "doc_id").join(terms, ["query_id", "term"]), terms)
+    rows = best.join(vectors, "doc_id").join(query_vectors.withColumnRenamed("embedding", "asked"), "query_id").join(own, ["query_id", "doc_id"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     vector = F.round(F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("asked"))), 8)
     return rows.select("query_id", "doc_id", "rank", "fusion", vector.alias("vector"), zero("lexical"), zero("overlap"))

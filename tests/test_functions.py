@@ -184,3 +184,54 @@ def test_chunks_are_made_in_blocks_of_texts():
     parts = [p.column("text").to_pylist() for p in C.blocks(batch, "text", 1000)]
     assert parts == [["a" * 600, None, ""], ["b" * 600], ["c" * 5000], ["d" * 10, "e" * 10]]
     assert not list(C.blocks(batch.slice(0, 0), "text"))
+
+
+def test_postings_are_counted_in_tasks_of_so_many_characters(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "red", f"red {'blue ' * (i % 4)} w{i % 7}") for i in range(90)], "doc_id bigint, title string, content string")
+    asked = spark.createDataFrame([(1, "red blue w3"), (2, "blue w5 none")], "query_id bigint, query_text string")
+    want = sorted(map(tuple, retrieval.bm25(texts, asked).collect()))
+    chars, parts, written = sum(len(f"{r.title} {r.content}") for r in texts.collect()), [], retrieval.written
+    monkeypatch.setattr(retrieval, "CHARS", 100)
+    monkeypatch.setattr(retrieval, "written", lambda df: parts.append((df.columns, df.rdd.getNumPartitions())) or written(df))
+    assert sorted(map(tuple, retrieval.bm25(texts, asked).collect())) == want
+    assert [n for columns, n in parts if "tf" in columns] == [-(-chars // 100)]
+
+
+def test_leading_rows_hold_all_that_ranks(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    rows = [(None if k % 4 == 3 else k % 4, k, float(g.integers(0, 12)), float(g.integers(0, 3))) for k in range(800)]
+    scores = spark.createDataFrame(rows, "query_id int, doc_id bigint, lexical double, overlap double").coalesce(2)
+    monkeypatch.setattr(retrieval, "SCORES", 16)
+    found = retrieval.leading(scores, {"lexical": 5, "overlap": 7})
+    assert found.schema == scores.schema and found.count() <= 2 * 4 * (5 + 7)
+    for column, limit in (("lexical", 5), ("overlap", 7)):
+        assert sorted(map(str, retrieval.ranked(found, column, limit).collect())) == sorted(map(str, retrieval.ranked(scores, column, limit).collect()))
+    assert retrieval.leading(scores.limit(0), {"lexical": 5}).count() == 0
+
+
+def test_fused_keeps_no_table_of_all_scores(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    text = lambda k: " ".join(f"w{x}" for x in g.zipf(1.4, 12) % 40) + f" u{k % 50}"
+    texts = spark.createDataFrame([(i, f"t{i % 9}", text(i)) for i in range(300)], "doc_id bigint, title string, content string")
+    asked = spark.createDataFrame([(i, text(i) + f" t{i}") for i in range(4)], "query_id bigint, query_text string")
+    scores = {(r.query_id, r.doc_id): r for r in retrieval.bm25(texts, asked).collect()}
+    embed, both = retrieval.hash_embedding(64), "concat_ws(' ', title, content)"
+    vectors, asking = texts.selectExpr("doc_id", f"{both} AS t").select("doc_id", embed("t").alias("embedding")), asked.select("query_id", embed("query_text").alias("embedding"))
+    lists = {(r.query_id, r.doc_id): [r["rank"]] for r in retrieval.nearest(vectors, asking, 36, "doc_id").collect()}
+    for column in ("lexical", "overlap"):
+        for q in range(4):
+            best = sorted((-r[column], d) for (k, d), r in scores.items() if k == q)[:36]
+            for n, (_, d) in enumerate(best, 1):
+                lists.setdefault((q, d), []).append(n)
+    want = {}
+    for q in range(4):
+        best = sorted((-round(sum(1 / (60 + n) for n in ranks), 10), d) for (k, d), ranks in lists.items() if k == q)[:24]
+        want |= {(q, d): n for n, (_, d) in enumerate(best, 1)}
+    sizes, written = [], retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df: sizes.append((df.columns, df.count())) or written(df))
+    got = {(r.query_id, r.doc_id): r for r in retrieval.fused(texts, asked).collect()}
+    assert {k: r["rank"] for k, r in got.items()} == want
+    for k, r in got.items():
+        known = scores.get(k)
+        assert (r.lexical, r.overlap) == pytest.approx((known.lexical, known.overlap) if known else (0.0, 0.0), abs=1e-7)
+    assert len(scores) > 1000 and max(n for columns, n in sizes if "lexical" in columns) <= 4 * 2 * 36
