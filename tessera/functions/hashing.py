@@ -82,10 +82,12 @@ def embeddings(texts: pd.Series, length: int) -> np.ndarray:
     """A unit vector of each whole text."""
     out, held, on_axis = np.zeros((len(texts), length)), [], []
     number: dict[str, int] = {}
+    full = 0
 
     def add() -> None:
         slots, shares, counts = stands_for(list(number), length)
-        row, token, weight = (np.array(x) for x in zip(*held, strict=True))
+        token, weight = np.concatenate([t for _, t, _ in held]), np.concatenate([w for *_, w in held])
+        row = np.repeat([r for r, *_ in held], [len(w) for *_, w in held])
         n, begins = counts[token], counts.cumsum() - counts
         at = np.repeat(begins[token] - (n.cumsum() - n), n) + np.arange(n.sum())
         np.add.at(out.reshape(-1), np.repeat(row * length, n) + slots[at], np.repeat(weight, n) * shares[at])
@@ -93,12 +95,16 @@ def embeddings(texts: pd.Series, length: int) -> np.ndarray:
         number.clear()
 
     for row, text in enumerate(texts.fillna("")):
-        uses = Counter(map(str.lower, (m.group() for m in _TOKEN.finditer(text))))
-        most = max(uses.values(), default=1)
-        for token in sorted(uses):
-            held.append((row, number.setdefault(token, len(number)), 0.5 + 0.5 * uses[token] / most))
-            if len(held) >= BLOCK:
+        uses = Counter(map(str.lower, map(re.Match.group, _TOKEN.finditer(text))))
+        tokens, most, at = sorted(uses), max(uses.values(), default=1), 0
+        while at < len(tokens):
+            part = tokens[at : at + BLOCK - full]
+            counted = np.fromiter(map(uses.__getitem__, part), np.float64, len(part))
+            held.append((row, np.fromiter((number.setdefault(t, len(number)) for t in part), np.int64, len(part)), 0.5 + 0.5 * counted / most))
+            at, full = at + len(part), full + len(part)
+            if full >= BLOCK:
                 add()
+                full = 0
         on_axis += [(row, axis) for axis, lexicon in enumerate(AXES[:length]) for word in lexicon if word in uses]
     if held:
         add()

@@ -297,7 +297,7 @@ def hybrid(fragments: DataFrame, queries: DataFrame, p: Policy = GENERATION, vec
     (doc_id, embedding) and ``query_vectors`` (query_id, embedding) are by default the
     statistical embeddings of title with content and of the query.
     """
-    rows = fused(fragments, queries, p, vectors, query_vectors)
+    rows = written(fused(fragments, queries, p, vectors, query_vectors))
     tokens = queries.select("query_id", search_tokens(F.col("query_text")).alias("q"))
     rows = rows.join(fragments.drop("content"), "doc_id").join(tokens, "query_id")
     kind = F.col("fragment_type")
