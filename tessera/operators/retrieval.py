@@ -109,7 +109,7 @@ def weights(fragments: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))
     both = size.select(F.struct("n", "avgdl")).scalar()
     n, avgdl = both["n"], both["avgdl"]
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = written(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avgdl))
     asked = terms.groupBy("term").agg(F.count(F.lit(1)).alias("queries"))
