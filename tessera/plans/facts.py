@@ -20,7 +20,7 @@ CATALOGUE = {
     "technology": (("apache", "version"), ()),
     "architecture": (("entre", "from"), ("principle",)),
 }
-_SENTENCES = r"list_transform(list_filter(list_transform(flatten(list_transform(regexp_split_to_array(text, '[\r\n]+'), lambda b: string_split(regexp_replace(regexp_replace(trim(trim(regexp_replace(b, '\s+', ' ', 'g')), ' -•'), ' • ', chr(1), 'g'), '([.!?;]) ', '\1' || chr(1), 'g'), chr(1)))), lambda s: trim(s, ' -•')), lambda s: length(s) >= 20)[1:500], lambda s: CASE WHEN length(s) <= 1400 THEN s ELSE rtrim(substr(s, 1, 1399)) || '…' END)"
+_SENTENCES = r"list_filter(list_transform(flatten(list_transform(regexp_split_to_array(text, '[\r\n]+'), lambda b: string_split(regexp_replace(regexp_replace(trim(trim(regexp_replace(b, '\s+', ' ', 'g')), ' -•'), ' • ', chr(1), 'g'), '([.!?;]) ', '\1' || chr(1), 'g'), chr(1)))), lambda s: trim(s, ' -•')), lambda s: length(s) >= 20)"
 _NORMAL = r"' ' || trim(regexp_replace(lower(s), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' '"
 _RELATION = r"(?i)([A-ZА-Я][\p{L}\p{N}_ .\-/]{1,80})\s*(?:->|→|to)\s*([A-ZА-Я][\p{L}\p{N}_ .\-/]{1,80})"
 
@@ -31,12 +31,9 @@ def _has(category: str) -> str:
 
 
 _ITEMS = rf"""WITH s0 AS (SELECT doc_id, doc_id % 5 = 3 AS normative, {_SENTENCES} AS l FROM documents),
-s1 AS (SELECT doc_id, normative, len(l) AS total, unnest(l) AS s, unnest(range(len(l))) AS place FROM s0),
+s1 AS (SELECT doc_id, normative, unnest(l) AS s, unnest(range(len(l))) AS position FROM s0),
 s2 AS (SELECT *, {_NORMAL} AS n, regexp_matches(s, '{_RELATION}') AS related FROM s1),
-s3 AS (SELECT *, related OR {" OR ".join(map(_has, CATALOGUE))} AS told FROM s2),
-s4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(s) ORDER BY place) AS nth FROM s3) WHERE total <= 80 OR nth = 1),
-s5 AS (SELECT *, CASE WHEN total <= 80 THEN place ELSE row_number() OVER (PARTITION BY doc_id ORDER BY NOT told, place) - 1 END AS position FROM s4),
-st AS (SELECT *, substr(array_to_string(string_split(trim(regexp_replace(s, '\s+', ' ', 'g')), ' ')[1:8], ' '), 1, 120) AS title FROM s5 WHERE position < 80),
+st AS (SELECT *, substr(array_to_string(string_split(trim(regexp_replace(s, '\s+', ' ', 'g')), ' ')[1:8], ' '), 1, 120) AS title FROM s2),
 it AS (SELECT doc_id, position, 'risk' AS item_type, title, s, 0.79 AS confidence FROM st WHERE {_has("risk")}
 UNION ALL SELECT doc_id, position, 'constraint', title, s, 0.86 FROM st WHERE {_has("constraint")}
 UNION ALL SELECT doc_id, position, CASE WHEN contains(lower(s), 'principle') THEN 'architectural_principle' WHEN normative THEN 'normative_rule' ELSE 'mandatory_requirement' END, title, s, CASE WHEN normative THEN 0.9 ELSE 0.82 END FROM st WHERE {_has("rule")}
@@ -54,7 +51,7 @@ def _items(spark, sf):
 
 @query(_ITEMS + "SELECT doc_id, position, item_type, title, CAST(confidence AS DOUBLE) AS confidence FROM it")
 def typed_facts(spark, sf):
-    """Typed items and relations of the sentences of whole texts."""
+    """Typed items and relations of all sentences of whole texts."""
     return _items(spark, sf).select("doc_id", F.col("position").cast("bigint").alias("position"), "item_type", "title", "confidence")
 
 

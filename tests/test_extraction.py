@@ -166,3 +166,34 @@ def test_sentences_are_made_once(spark):
     plan = items._jdf.queryExecution().optimizedPlan().toString()
     assert sum("transform(" in line for line in plan.splitlines()) == 1 and "Filter" in plan
     assert {(r.doc_id, r.item_type) for r in items.collect()} == {(1, "mandatory_requirement"), (1, "entity_relation")}
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """``documents`` of whose texts the last sentences tell, of more sentences with markers than eighty, and with a sentence that tells at its end."""
+    plain = [f"Plain sentence number {k} says nothing." for k in range(700)]
+    texts = ["\n".join([*plain, "It is licensed by idiot number one.", "Alpha service sends to Beta store."]), "\n".join(["The box must stay shut, always."] * 90), "word " * 400 + "and trash at last -> Gamma store.", "", None]
+    folder = tmp_path_factory.mktemp("long")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def _equals_its_sql(spark, folder, name):
+    import duckdb
+    from oracle import compare
+
+    from tessera.plans import facts
+    from tessera.plans.base import SQL
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    df = getattr(facts, name)(spark, folder)
+    assert compare(con, df, SQL[name]) > 0
+    return df.collect()
+
+
+def test_memory_holds_the_whole_text(spark, long_texts):
+    rows = _equals_its_sql(spark, long_texts, "document_memory")
+    got = {(r.doc_id, r.ordinal): (r.item_type, r.content) for r in rows}
+    assert got[0, 2] == ("risk", "It is licensed by idiot number one.") and got[0, 3] == ("entity_relation", "Alpha service sends to Beta store.")
+    assert sum(i == 1 for i, _ in got) == 91 and ("risk", "word " * 400 + "and trash at last -> Gamma store.") in got.values()
