@@ -197,3 +197,8 @@ def test_memory_holds_the_whole_text(spark, long_texts):
     got = {(r.doc_id, r.ordinal): (r.item_type, r.content) for r in rows}
     assert got[0, 2] == ("risk", "It is licensed by idiot number one.") and got[0, 3] == ("entity_relation", "Alpha service sends to Beta store.")
     assert sum(i == 1 for i, _ in got) == 91 and ("risk", "word " * 400 + "and trash at last -> Gamma store.") in got.values()
+
+
+def test_counters_count_the_whole_text(spark, long_texts):
+    got = {r.item_type: (r["items"], r.documents) for r in _equals_its_sql(spark, long_texts, "item_counters")}
+    assert got == {"mandatory_requirement": (2, 2), "risk": (2, 2), "entity_relation": (2, 2)}
