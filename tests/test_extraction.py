@@ -202,3 +202,10 @@ def test_memory_holds_the_whole_text(spark, long_texts):
 def test_counters_count_the_whole_text(spark, long_texts):
     got = {r.item_type: (r["items"], r.documents) for r in _equals_its_sql(spark, long_texts, "item_counters")}
     assert got == {"mandatory_requirement": (2, 2), "risk": (2, 2), "entity_relation": (2, 2)}
+
+
+def test_facts_of_the_whole_text(spark, long_texts):
+    rows = _equals_its_sql(spark, long_texts, "typed_facts")
+    got = {(r.doc_id, r.position, r.item_type) for r in rows}
+    want = {(0, 700, "mandatory_requirement"), (0, 700, "risk"), (0, 701, "entity_relation"), (2, 0, "risk"), (2, 0, "entity_relation")}
+    assert got == want | {(1, k, "mandatory_requirement") for k in range(90)} and len(rows) == len(got)
